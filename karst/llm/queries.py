@@ -3,18 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
+def _remainder(mod: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import fit_languages, language_ids
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    found = language_ids(docs.drop("lang"), fit_languages(docs))
+    return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_archives, resolved, write_archives
+
+    index = write_archives(_read(spark, sf_dir, "pages", "page_id", "url", "html"), archive_folder(spark))
+    return resolved(read_archives(index, payloads=False))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit_quality, quality_scores
+
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    model = fit_quality(docs, _read(spark, sf_dir, "labels", "doc_id", "quality").withColumnRenamed("quality", "label"))
+    return quality_scores(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import lm_scores
 
     return lm_scores(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op9_lm_scoring,)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op5_warc, op7_quality, op9_lm_scoring, op10_packing)}
 
-ORACLES: dict[str, str] = {}
+#: SQL for the queries that DuckDB can express.
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        with p as (select page_id, url, coalesce(html, '') h, strlen(coalesce(html, '')) b from pages),
+        f as (select h, min(page_id) m from p where b >= 100 group by h)
+        select p.page_id, p.b payload_bytes, sha256(p.h) payload_digest,
+               case when f.m <> p.page_id then 'revisit' else 'response' end record_type,
+               case when f.m <> p.page_id then f.m end refers_to, p.url
+        from p left join f using (h)""",
+}
