@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
@@ -97,3 +98,33 @@ def gathered(batches, limit: int, column: str = "text"):
             held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+
+
+def by_groups(batches, keys: list[str]):
+    """Rows that come sorted by keys, as tables of whole groups; with each the first row of every group, and the end."""
+    held: list[pa.Table] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        whole = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), t]) if held else t
+        starts = _starts(whole, keys) - (1 if held else 0)
+        starts = starts[starts >= 0] if held else starts[1:]
+        if len(starts):
+            done = pa.concat_tables([*held, t.slice(0, starts[-1])]).combine_chunks()
+            yield done, np.append(_starts(done, keys), done.num_rows)
+            held = [t.slice(starts[-1])]
+        else:
+            held.append(t)
+    if held:
+        done = pa.concat_tables(held).combine_chunks()
+        yield done, np.append(_starts(done, keys), done.num_rows)
+
+
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        c = t[k].combine_chunks()
+        new[1:] |= pc.not_equal(c.slice(1), c.slice(0, t.num_rows - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)

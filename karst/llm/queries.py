@@ -14,6 +14,12 @@ def _remainder(mod: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import fit_languages, language_ids
 
@@ -22,6 +28,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_folder, read_archives, resolved, write_archives
 
@@ -29,6 +47,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(read_archives(index, payloads=False))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import paragraph_dedup
+
+    return paragraph_dedup(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("content")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit_quality, quality_scores
 
@@ -37,6 +61,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm_scoring import lm_scores
 
@@ -51,7 +81,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_read(spark, sf_dir, "documents", "doc_id", "text", "source"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_warc, op7_quality, op9_lm_scoring, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_line_dedup, op2_language_id, op3_decontamination, op4_ngram_join, op5_warc, op6_substring_dedup, op7_quality, op8_nearest, op9_lm_scoring, op10_packing,
+)}
 
 #: SQL for the queries that DuckDB can express.
 ORACLES: dict[str, str] = {
