@@ -177,6 +177,18 @@ def aligned(pattern: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, i
     return (int(origin[end]), end, int(row[end])) if end > origin[end] else None
 
 
+def _blocks(docs: DataFrame, benchmark: DataFrame, q: int, window: int, rate: float):
+    """The index of each block of the benchmark, as a broadcast of bounded size."""
+    spark = session_of(docs)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = -(-2 * chars // BLOCK_CHARS) if chars > BLOCK_CHARS else 1
+    for block in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
+        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())  # about BLOCK_CHARS characters
+        yield spark.sparkContext.broadcast(Index(rows, q, window, rate))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 96, rate: float = 0.06) -> DataFrame:
     """One row for each document and benchmark item of which it holds a window: doc_id, item_id, first, last, edits, windows.
 
@@ -185,10 +197,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int
     ``window`` characters, or the whole item if that is shorter; items of fewer than q characters, null or empty texts hold
     nothing. Repeated documents give the rows of each, repeated items those of one.
     """
-    spark = session_of(docs)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-2 * chars // BLOCK_CHARS)) if chars > BLOCK_CHARS else 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
 
     def searched(index):
@@ -205,9 +213,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int
 
         return search
 
-    out = []
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        index = spark.sparkContext.broadcast(Index(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect()), q, window, rate))  # about BLOCK_CHARS characters
-        out.append(docs.mapInArrow(searched(index), "doc_id long, item_id long, first int, last int, edits int, windows int"))
-    return reduce(DataFrame.unionAll, out)
+    shape = "doc_id long, item_id long, first int, last int, edits int, windows int"
+    return reduce(DataFrame.unionAll, [docs.mapInArrow(searched(index), shape) for index in _blocks(docs, benchmark, q, window, rate)])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 96, rate: float = 0.06) -> DataFrame:
+    """The rows of docs whose text holds no window of any benchmark item; null texts stay. Rows are judged where they are read."""
+
+    def clean(index):
+        def holds_none(texts: pa.Array) -> pa.Array:
+            found = {r[0] for r in index.value.regions(large(texts).to_pylist())}
+            return pa.array([k not in found for k in range(len(texts))], pa.bool_())
+
+        return F.arrow_udf(holds_none, "boolean")(F.col("text").cast("string"))
+
+    for index in _blocks(docs, benchmark, q, window, rate):
+        docs = docs.where(clean(index))
+    return docs

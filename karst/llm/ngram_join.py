@@ -77,7 +77,7 @@ def _described(runs: int, similar: float, family):
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
             kinds = (pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", "content", *out])
 
     return described
 
@@ -151,18 +151,18 @@ def candidate_edges(sets: DataFrame, similar: float) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999) -> DataFrame:
-    """doc_id, class_id, links, copies and node for each document.
+    """doc_id, content, class_id, links, copies and root for each document.
 
     docs: doc_id long, text string; other columns are ignored. Documents whose sets have a Jaccard similarity of ``similar`` or
     more are linked; class_id is the smallest doc_id of all that hang together by links, links the number of different other sets
-    that the document's own is linked to, copies the number of documents with exactly its set. node names the set. Null texts and
-    texts without words have no set: each is its own class, with 0 links and node null. A null doc_id is never a class_id unless
+    that the document's own is linked to, copies the number of documents with exactly its set. root names the class, content is a
+    hash of the text. Null texts and texts without words have no set: each is its own class, with 0 links and root null. A null doc_id is never a class_id unless
     all its class has none. Repeated rows are copies of each other.
     """
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shape = "doc_id long, node binary, sketch binary, path array<array<long>>, up array<array<int>>"
-    known = staged(docs.mapInArrow(_described(runs_for(similar, recall), similar, hash_family(SKETCH, 11)), shape))
+    shape = "doc_id long, content long, node binary, sketch binary, path array<array<long>>, up array<array<int>>"
+    known = staged(docs.withColumn("content", F.xxhash64("text")).mapInArrow(_described(runs_for(similar, recall), similar, hash_family(SKETCH, 11)), shape))
     named = known.where("node is not null")
     heads = named.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     one = named.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.first("up").alias("up"))
@@ -174,7 +174,23 @@ def ngram_join(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999)
     classes = heads.join(linked, "node", "left").select("node", "head", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = staged(classes)
     ids = classes.groupBy("root").agg(F.min("head").alias("class_id"))
-    classes = classes.join(ids, "root").select("node", "class_id", "links", "copies")
-    found = known.select("doc_id", "node").join(classes, "node", "left")
+    classes = classes.join(ids, "root").select("node", "root", "class_id", "links", "copies")
+    found = known.select("doc_id", "content", "node").join(classes, "node", "left")
     alone = F.col("node").isNull()
-    return found.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), "node")
+    return found.select("doc_id", "content", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(1)).alias("copies"), "root")
+
+
+def one_of_each(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999) -> DataFrame:
+    """The rows of docs that stay when one document of each class of ngram_join() does: that with the smallest doc_id.
+
+    Rows without words have no class and stay; so does a class without doc_id, with one of its documents. Of rows that repeat
+    both doc_id and text, one stays.
+    """
+    found = ngram_join(docs, similar, recall).where("root is null or class_id <=> doc_id").select("doc_id", "content", F.coalesce("root", F.lit(b"")).alias("root"))
+    worded = F.length("root") > 0
+    kept = found.where(worded).groupBy("root").agg(F.min("doc_id").alias("_doc"), F.min("content").alias("_content")).select("_doc", "_content", F.lit(True).alias("_one"))
+    kept = kept.unionAll(found.where(~worded).select("doc_id", "content", F.lit(False)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_content"))
+    stay = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).join(kept, same)
+    stay = stay.withColumn("_row", F.when(F.col("_one"), F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return stay.dropDuplicates(["doc_id", "_hash", "_row"]).select(*docs.columns)

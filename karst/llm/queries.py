@@ -37,7 +37,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_join
 
-    return ngram_join(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("node")
+    return ngram_join(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("content", "root")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
