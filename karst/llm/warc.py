@@ -94,7 +94,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     session_of(pages)
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.select("*", F.sha2("payload", 256).alias("payload_digest"), F.monotonically_increasing_id().alias("record_id"))
+    # numbered once and written, so that every later step sees the same numbers
+    rows = staged(rows.select("*", F.sha2("payload", 256).alias("payload_digest"), F.monotonically_increasing_id().alias("record_id")))
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id"))
     shared = rows.where(F.length("payload") >= LEAST_SHARED).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("many"), first.alias("first"))
     rows = rows.join(shared.where("many > 1").select("payload_digest", F.col("first.record_id").alias("target")), "payload_digest", "left")
