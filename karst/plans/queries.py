@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karst.functions import guards
-from karst.operators import detect, graph, idioms, product
+from karst.operators import detect, gated, graph, idioms, product
 from karst.plans.fixpoint import written
 from karst.sources import star
 
@@ -34,6 +34,14 @@ comp AS (SELECT x.a room, min(x.b) component FROM clo x JOIN clo y ON x.a = y.b
 st(room, v) AS (SELECT room, 0 FROM start UNION SELECT dst, coalesce(setv, v) FROM st JOIN way ON src = room AND (req IS NULL OR req = v)),
 st2(room, v) AS (SELECT room, 0 FROM start UNION SELECT dst, coalesce(setv, v) FROM st2 JOIN way2 ON src = room AND (req IS NULL OR req = v)),
 ban(item, room, v) AS (SELECT DISTINCT p_brand, room, 0 FROM part, start UNION SELECT item, dst, coalesce(setv, v) FROM ban JOIN way ON src = room AND (req IS NULL OR req = v) AND (alt IS NULL OR alt <> item)),
+ban2(item, room, v) AS (SELECT DISTINCT p_brand, room, 0 FROM part, start UNION SELECT item, dst, coalesce(setv, v) FROM ban2 JOIN way2 ON src = room AND (req IS NULL OR req = v) AND (alt IS NULL OR alt <> item)),
+dropped AS (SELECT DISTINCT p_brand item, l_suppkey room FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 3 AND l_discount <= 0.025),
+moved AS (SELECT DISTINCT p_brand item, CASE WHEN l_tax >= 0.005 THEN l_suppkey END src, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_suppkey // 7 + 1 END dst FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 4 AND l_discount <= 0.005),
+mv(item, room, p) AS (SELECT item, room, room FROM dropped UNION SELECT mv.item, mv.room, moved.dst FROM mv JOIN moved ON moved.item = mv.item AND (moved.src IS NULL OR moved.src = mv.p)),
+back1(item, room, v) AS (SELECT item, source.room, st.v FROM source JOIN st ON st.room = source.room UNION SELECT item, st.room, st.v FROM back1 JOIN way ON way.dst = back1.room JOIN st ON st.room = way.src WHERE (req IS NULL OR req = st.v) AND coalesce(setv, st.v) = back1.v AND (alt IS NULL OR alt <> item)),
+back2(item, room, v) AS (SELECT item, source.room, st2.v FROM source JOIN st2 ON st2.room = source.room UNION SELECT item, st2.room, st2.v FROM back2 JOIN way2 ON way2.dst = back2.room JOIN st2 ON st2.room = way2.src WHERE (req IS NULL OR req = st2.v) AND coalesce(setv, st2.v) = back2.v AND (alt IS NULL OR alt <> item)),
+flip AS (SELECT DISTINCT setv w, dst room FROM st JOIN way ON src = st.room WHERE (req IS NULL OR req = st.v) AND setv IS NOT NULL AND setv <> st.v),
+fl(w, seed, room, v) AS (SELECT w, room, room, w FROM flip UNION SELECT w, seed, dst, coalesce(setv, v) FROM fl JOIN way ON src = fl.room AND (req IS NULL OR req = v)),
 strand AS (SELECT DISTINCT e.src, e.dst, n.item FROM edge e JOIN clo f ON f.a = e.dst JOIN need n ON n.room = f.b JOIN reob r ON r.item = n.item AND r.room = e.src
            WHERE NOT EXISTS (SELECT 1 FROM reob z WHERE z.item = n.item AND z.room = e.dst) AND NOT EXISTS (SELECT 1 FROM edge k WHERE k.src = e.dst AND k.dst = e.src)),
 cut(s, d, room) AS (SELECT src, dst, (SELECT room FROM start) FROM edge WHERE src IN (SELECT room FROM reached)
@@ -288,6 +296,37 @@ def ways_with_default(spark, d):
     return found.select("src", "dst", "req", "setv", F.coalesce("alt", F.lit("")).alias("alt"), F.col("item").isNotNull().alias("priced"))
 
 
+def _projections(spark, d) -> list[DataFrame]:
+    return [star.ways(spark, d, r) for r in ("flag", "status")]
+
+
+@_query("SELECT DISTINCT item, room FROM ban WHERE (item, room) IN (SELECT (item, room) FROM ban2)")
+def reach_without(spark, d):
+    items = star.table(spark, d, "part").select(F.col("p_brand").alias("item")).distinct()
+    return gated.reach_without(_start(spark, d), _projections(spark, d), items)
+
+
+@_query("SELECT DISTINCT item, room FROM back1 WHERE (item, room) IN (SELECT (item, room) FROM back2)")
+def gated_reobtainable(spark, d):
+    return gated.reobtainable(_start(spark, d), _projections(spark, d), star.sources(spark, d))
+
+
+@_query("SELECT DISTINCT f.w AS value, f.seed room, n.item FROM fl f JOIN need n ON n.room = f.room WHERE n.item IN (SELECT item FROM source JOIN st ON st.room = source.room) AND NOT EXISTS (SELECT 1 FROM fl g JOIN source s ON s.room = g.room WHERE g.w = f.w AND g.seed = f.seed AND s.item = n.item)")
+def register_strandings(spark, d):
+    return gated.register_strandings(_start(spark, d), star.ways(spark, d), star.sources(spark, d), star.needs(spark, d))
+
+
+@_query("SELECT d.item, d.room, count(DISTINCT c.b) ahead FROM dropped d JOIN clo c ON c.a = d.room AND c.b <> d.room JOIN need n ON n.item = d.item AND n.room = c.b WHERE NOT EXISTS (SELECT 1 FROM reob r WHERE r.item = d.item AND r.room = d.room) GROUP BY 1, 2")
+def dangerous_sinks(spark, d):
+    pairs = written(_pairs(spark, d))
+    return gated.dangerous_sinks(star.drops(spark, d), star.needs(spark, d), detect.reobtainable(star.sources(spark, d), pairs), pairs)
+
+
+@_query("SELECT DISTINCT item, room FROM dropped WHERE item IN (SELECT item FROM moved WHERE dst = 0) AND NOT EXISTS (SELECT 1 FROM mv WHERE mv.item = dropped.item AND mv.room = dropped.room AND mv.p = 0)")
+def permanent_drops(spark, d):
+    return gated.permanent_drops(star.moves(spark, d), star.drops(spark, d))
+
+
 @_query()
 def market_matching(spark, d):
     consumers = star.offers(spark, d).select("site", F.explode("alt").alias("token")).groupBy("site").agg(F.sort_array(F.collect_set("token")).alias("tokens"))

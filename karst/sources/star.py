@@ -65,6 +65,20 @@ def needs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _holdings(spark, sf_dir, 2)
 
 
+def drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, room where it can be lost"""
+    return _holdings(spark, sf_dir, 3)
+
+
+def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, src, dst: how an item changes hands; 0 is its holder, a null src is anywhere."""
+    items = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") == 4) & (F.col("l_discount") <= 0.005))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("item"))
+    found = items.join(part, items["l_partkey"] == part["p_partkey"])
+    dst = F.when(F.col("l_linenumber") == 1, F.lit(0)).otherwise(F.floor(F.col("l_suppkey") / 7) + 1).cast("long")
+    return found.select("item", F.when(F.col("l_tax") >= 0.005, F.col("l_suppkey")).alias("src"), dst.alias("dst")).distinct()
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site, alt: for each supplier and order the sorted brands of its small line items, as one alternative of the site."""
     items = table(spark, sf_dir, "lineitem").where("l_quantity <= 4")
