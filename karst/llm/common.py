@@ -6,6 +6,7 @@ lost executor never takes with it the only copy of anything.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -16,7 +17,35 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Arrow batch carries to Python, at most (a single row may be longer).
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+#: What operators keep in a worker between its tasks, by operator.
+KEPT: dict[str, dict] = {}
+
+
+def release(own: str = "") -> None:
+    """Gives a worker's unused memory back, with what other operators kept in it: workers live on from stage to stage."""
+    for name, cache in KEPT.items():
+        if name != own:
+            cache.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def task(function, own: str = ""):
+    """A function over the Arrow batches of a partition that releases memory before and after."""
+
+    def run(batches):
+        release(own)
+        try:
+            yield from function(batches)
+        finally:
+            release(own)
+
+    return run
 
 
 def session_of(df: DataFrame) -> SparkSession:

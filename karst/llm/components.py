@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_groups, large, mix, pack_sorted, staged, unpack_sorted
+from .common import by_groups, large, mix, pack_sorted, staged, task, unpack_sorted
 
 #: Words of a shingle, and the similarity from which two sets are linked.
 SHINGLE, SIMILAR = 5, 0.8
@@ -159,7 +159,7 @@ def _linked(similar: float):
                 out[2].extend(links.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int64())], names=["node", "to", "links"])
 
-    return linked
+    return task(linked)
 
 
 def exact_links(members: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, session_of
+from .common import large, release, session_of, task
 
 BLOCK_CHARS = 8 << 20
+#: Characters of texts that are searched together.
+GROUP_CHARS = 1 << 20
 #: Bits of the table that sorts out most q-grams.
 TABLE_BITS = 22
 
@@ -102,7 +104,18 @@ class Index:
         self.table[(self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
     def regions(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first character, end, edits) of each window found."""
+        """(text, item, first character, end, edits) of each window found. Whole texts, about GROUP_CHARS characters at a time."""
+        found, a = [], 0
+        while a < len(texts):
+            z, size = a, 0
+            while z < len(texts) and (z == a or size + len(texts[z]) <= GROUP_CHARS):
+                size += len(texts[z])
+                z += 1
+            found += [(a + d, *rest) for d, *rest in self._regions(texts[a:z])]
+            a = z
+        return found
+
+    def _regions(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         chars, where, bounds = folded(texts)
         grams = qgrams(chars, self.q)
         at = np.flatnonzero(self.table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
@@ -211,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int
                 kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("edits", pa.int32()), ("windows", pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
 
-        return search
+        return task(search)
 
     shape = "doc_id long, item_id long, first int, last int, edits int, windows int"
     return reduce(DataFrame.unionAll, [docs.mapInArrow(searched(index), shape) for index in _blocks(docs, benchmark, q, window, rate)])
@@ -222,6 +235,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, win
 
     def clean(index):
         def holds_none(texts: pa.Array) -> pa.Array:
+            release()
             found = {r[0] for r in index.value.regions(large(texts).to_pylist())}
             return pa.array([k not in found for k in range(len(texts))], pa.bool_())
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, session_of
+from .common import large, release, session_of, task
 
 DIM = 1 << 14
 ORDERS = 3
@@ -78,6 +78,7 @@ class Languages:
         return np.stack([np.bincount(text, weights=x * w[feature], minlength=n) + b for w, b in zip(self.weights, self.bias, strict=True)], axis=1)
 
     def predict(self, texts: pa.Array) -> pa.Array:
+        release()
         names, scores = [], []
         for n, has, text, feature, count in features(texts):
             p = softmax(self.logits(n, text, feature, count) / self.temperature) if self.names else np.zeros((n, 1))
@@ -143,7 +144,7 @@ def fit_languages(
     if not names:
         return Languages([], np.zeros(DIM), np.zeros((0, DIM)), np.zeros(0), 1.0)
     idf = np.full(DIM, np.log(1.0 + total))
-    for r in docs.select("text").mapInArrow(frequencies, "feature long, texts long").groupBy("feature").agg(F.sum("texts").alias("n")).collect():  # DIM rows
+    for r in docs.select("text").mapInArrow(task(frequencies), "feature long, texts long").groupBy("feature").agg(F.sum("texts").alias("n")).collect():  # DIM rows
         idf[r["feature"]] = np.log((1 + total) / (1 + r["n"])) + 0.1
 
     share = max(1, max_texts // len(names))
@@ -174,7 +175,7 @@ def fit_languages(
         return pa.table({"weights": [weights.tobytes()], "bias": [bias.tobytes()], "temperature": [float(min(np.geomspace(0.02, 5, 120), key=loss))]})
 
     turn = F.xxhash64("doc_id", F.lit("turn")).alias("turn")
-    found = sample.select("text", "lang", turn).mapInArrow(weighed, "y int, turn long, i binary, x binary")
+    found = sample.select("text", "lang", turn).mapInArrow(task(weighed), "y int, turn long, i binary, x binary")
     got = found.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(learned, "weights binary, bias binary, temperature double").first()  # at most max_texts rows
     if got is None:
         return Languages([], idf, np.zeros((0, DIM)), np.zeros(0), 1.0)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, session_of, staged
+from .common import mix, session_of, staged, task
 
 
 def chunks(lines: list[str], window: int = 2, divisor: int = 4, most: int = 64) -> tuple[np.ndarray, np.ndarray, list[np.uint64]]:
@@ -61,7 +61,7 @@ def _chunked(window: int, divisor: int, most: int):
                             out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.int32() if k in ("first", "last") else pa.int64()) for k in out]))
 
-    return chunked
+    return task(chunked)
 
 
 def _texts(first: bool):
@@ -78,7 +78,7 @@ def _texts(first: bool):
                             out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("content", pa.int64()), ("first", pa.int32()), ("chunk", pa.string())]))
 
-    return texts
+    return task(texts)
 
 
 def _cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:

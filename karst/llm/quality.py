@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, session_of, staged
+from .common import large, release, session_of, staged, task
 
 #: Character classes of UTF-8 bytes.
 CLASSES = ("upper", "lower", "digit", "blank", "line", "stop", "symbol", "bar", "bang", "control")
@@ -95,6 +95,7 @@ class Quality:
         return self.features(x) @ self.weights
 
     def score(self, texts: pa.Array) -> pa.Array:
+        release()
         if not len(self.knots):
             return pa.array(np.full(len(texts), self.values[0]))
         return pa.array(np.interp(self.raw(statistics(texts)), self.knots, self.values))
@@ -140,7 +141,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, held_mod: int = 5, held_rem:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     found = texts.join(F.broadcast(labels), "doc_id")  # at most max_labels rows of a few numbers
     found = found.select("text", "label", "times", (F.floor(crc / held_mod) % 5).cast("int").alias("part"))
-    rows = staged(found.mapInArrow(measured, "label int, part int, times long, x array<double>")).repartition(16)
+    rows = staged(found.mapInArrow(task(measured), "label int, part int, times long, x array<double>")).repartition(16)
 
     def normal(model: Quality | None):
         """Sums over a partition: of the statistics and their squares, or of the normal equations."""
