@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_groups, mix, session_of, staged
+from .common import by_groups, mix, session_of, staged, task
 from .components import SIMILAR, components, exact_links, find, hash_family, minhash, packed_sets, set_key, shingles
 
 SKETCH = 128
@@ -79,7 +79,7 @@ def _described(runs: int, similar: float, family):
             kinds = (pa.binary(), pa.binary(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("content"), *(pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True))], names=["doc_id", "content", *out])
 
-    return described
+    return task(described)
 
 
 def _compared(least: int):
@@ -113,7 +113,7 @@ def _compared(least: int):
             node = t["node"].combine_chunks()
             yield pa.RecordBatch.from_arrays([node.take(pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))) for v in (left, right)], names=["a", "b"])
 
-    return compared
+    return task(compared)
 
 
 def _members(batches):
@@ -125,19 +125,19 @@ def _members(batches):
 
 
 def candidate_edges(sets: DataFrame, similar: float) -> DataFrame:
-    """Spanning links between sets that met in a bucket and whose sketches agree. sets: node, sketch, path, up; one row each."""
+    """Spanning links between sets that met in a bucket and whose sketches agree. sets: node, sketch, path, up; repeated rows count once."""
     # three standard deviations below what a pair at the similarity agrees in
     expected = similar + (1 - similar) / 256
     least = int(SKETCH * (expected - 3.3 * (expected * (1 - expected) / SKETCH) ** 0.5))
     buckets = None
-    rows = sets.select("node", F.posexplode(F.col("path")[0]).alias("place", "bucket"))
+    rows = sets.select("node", F.posexplode(F.col("path")[0]).alias("place", "bucket")).distinct()
     for level in range(LEVELS):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found = rows.join(sizes, "bucket")
         own = (found if level == LEVELS - 1 else found.where(F.col("n") <= SMALL)).select("node", "bucket", "n")
         buckets = own if buckets is None else buckets.unionAll(own)
         if level < LEVELS - 1:
-            below = sets.select("node", F.col("path")[level + 1].alias("p"), F.col("up")[level + 1].alias("u"))
+            below = sets.select("node", F.col("path")[level + 1].alias("p"), F.col("up")[level + 1].alias("u")).dropDuplicates(["node"])
             split = found.where(F.col("n") > SMALL).select("node", "place").join(below, "node")
             own = F.expr("filter(transform(p, (x, k) -> struct(k as place, x as bucket, u[k] as up)), c -> c.up = place)")
             rows = split.select("node", F.explode(own).alias("c")).select("node", "c.place", "c.bucket")
@@ -146,7 +146,7 @@ def candidate_edges(sets: DataFrame, similar: float) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = buckets.withColumn("chunks", chunks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("node", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    dealt = dealt.join(sets.select("node", "sketch"), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
+    dealt = dealt.join(sets.select("node", "sketch").dropDuplicates(["node"]), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "side")
     return dealt.mapInArrow(_compared(least), "a binary, b binary").distinct()
 
 
@@ -165,11 +165,10 @@ def ngram_join(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999)
     known = staged(docs.withColumn("content", F.xxhash64("text")).mapInArrow(_described(runs_for(similar, recall), similar, hash_family(SKETCH, 11)), shape))
     named = known.where("node is not null")
     heads = named.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-    one = named.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.first("up").alias("up"))
-    candidates = components(staged(candidate_edges(staged(one), similar)))
+    candidates = components(staged(candidate_edges(named, similar)))
     # texts of members: one document of each candidate set, found again by its id and told apart by its set's name
     of = candidates.join(heads, "node").select("node", F.col("root").alias("candidate"), F.col("head").alias("_head"))
-    members = docs.join(of, docs["doc_id"].eqNullSafe(of["_head"])).select("text", "node", "candidate").mapInArrow(_members, "node binary, candidate binary, tokens binary")
+    members = docs.join(of, docs["doc_id"].eqNullSafe(of["_head"])).select("text", "node", "candidate").mapInArrow(task(_members), "node binary, candidate binary, tokens binary")
     linked = exact_links(members.dropDuplicates(["node"]), similar)
     classes = heads.join(linked, "node", "left").select("node", "head", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     classes = staged(classes)
