@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, large, mix, pack, pack_sorted, scalar, session_of, staged, unpack, unpack_sorted
+from .common import gathered, large, mix, pack, pack_sorted, scalar, session_of, staged, task, unpack, unpack_sorted
 
 #: Hashes of the end of a text and of the place before its first word; no word can be either, as words hash their own bytes.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\x00 end", b"\x00 start"))
-BLOCK_BYTES = 14 << 20
+BLOCK_BYTES = 8 << 20
 CHARS_A_BUCKET = 12 << 20
 
 
@@ -99,7 +99,7 @@ def _blocks(held_mod: int, held_rem: int):
                 }
             )
 
-    return blocks
+    return task(blocks)
 
 
 def _asked(order: int, bits: int):
@@ -120,7 +120,7 @@ def _asked(order: int, bits: int):
                             out[k].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
-    return asked
+    return task(asked)
 
 
 def _answered(t: pa.Table) -> pa.Table:
