@@ -15,6 +15,7 @@ import uuid
 import zlib
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,11 @@ def _member(fields: list[tuple[str, str | None]], block: bytes) -> bytes:
     return z.compress(head + block + b"\r\n\r\n") + z.flush()
 
 
+def _packed(payloads: pa.Array) -> pa.Array:
+    z = zstandard.ZstdCompressor(level=3)
+    return pa.array([z.compress(x) for x in payloads.to_pylist()], pa.binary())
+
+
 def _writer(folder: str, date: str):
     def write(batches):
         from pyarrow.fs import FileSystem
@@ -59,7 +65,7 @@ def _writer(folder: str, date: str):
                         info = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                         out.write(info)
                         at = len(info)
-                    again, payload = r["record_type"] == "revisit", r["payload"]
+                    again, payload = r["record_type"] == "revisit", zstandard.decompress(r["packed"])
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                     fields = [
                         ("WARC-Type", r["record_type"]),
@@ -94,13 +100,14 @@ def write_archives(pages: DataFrame, folder: str, date: str = "2000-01-01T00:00:
     session_of(pages)
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    # numbered once and written, so that every later step sees the same numbers
-    rows = staged(rows.select("*", F.sha2("payload", 256).alias("payload_digest"), F.monotonically_increasing_id().alias("record_id")))
+    # numbered once and written, so that every later step sees the same numbers; payloads are small on disk and on the way
+    packed = F.arrow_udf(_packed, "binary")("payload").alias("packed")
+    rows = staged(rows.select("page_id", "url", packed, F.length("payload").alias("size"), F.sha2("payload", 256).alias("payload_digest"), F.monotonically_increasing_id().alias("record_id")), "none")
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "record_id"))
-    shared = rows.where(F.length("payload") >= LEAST_SHARED).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("many"), first.alias("first"))
+    shared = rows.where(F.col("size") >= LEAST_SHARED).groupBy("payload_digest").agg(F.count(F.lit(1)).alias("many"), first.alias("first"))
     rows = rows.join(shared.where("many > 1").select("payload_digest", F.col("first.record_id").alias("target")), "payload_digest", "left")
     kind = F.when(F.col("target") != F.col("record_id"), F.lit("revisit")).otherwise(F.lit("response"))
-    rows = rows.select("record_id", "page_id", "url", "payload", "payload_digest", kind.alias("record_type"), "target")
+    rows = rows.select("record_id", "page_id", "url", "packed", "payload_digest", kind.alias("record_type"), "target")
     return staged(rows.mapInArrow(_writer(folder, date), INDEX))
 
 
