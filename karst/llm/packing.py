@@ -22,13 +22,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import large, scalar, session_of, staged
+from .common import KEPT, large, session_of, staged, task
 
 #: Words of these characters alone need no normalisation beyond lower case, and are cut by PIECE as the tokenizer cuts them.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
-#: Entries of a worker's caches, at most; a full cache starts anew.
-CACHED = 400_000
+#: Entries of each of a worker's two caches (words, and pieces of words), at most about; a full cache starts anew.
+CACHED = 600_000
 
 
 class WordEncoder:
@@ -43,7 +43,7 @@ class WordEncoder:
 
         self.tokenizer, self.separator = Tokenizer.from_file(path), separator
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
         shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # the bytes that stand for themselves
         hidden = iter(range(256, 512))
         self.byte = [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
@@ -51,16 +51,15 @@ class WordEncoder:
 
     def _word(self, word: str) -> bytes:
         if not PLAIN(word) or "<|" in word:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        else:
-            ids = []
-            for piece in PIECE(word.lower()):
-                got = self.pieces.get(piece)
-                if got is None:
-                    shown = piece if piece.isascii() else "".join(self.byte[b] for b in piece.encode())
-                    got = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-                ids += got
-        return np.array(ids, self.dtype).tobytes()
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
+        known, found = self.pieces, []
+        for piece in PIECE(word.lower()):
+            ids = known.get(piece)
+            if ids is None:
+                shown = piece if piece.isascii() else "".join(self.byte[b] for b in piece.encode())
+                ids = known[piece] = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], self.dtype).tobytes()
+            found.append(ids)
+        return b"".join(found)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, the separator after each; and the number of ids of each text."""
@@ -90,16 +89,21 @@ class WordEncoder:
         return ids, np.diff(np.concatenate([[0], stops])[np.concatenate([[0], ends])])
 
 
-_ENCODERS: dict = {}
+_ENCODERS: dict = KEPT.setdefault("packing", {})
+
+
+def encoder_of(path: str, separator: int) -> WordEncoder:
+    """The encoder of this worker, kept over its tasks."""
+    if (path, separator) not in _ENCODERS:
+        _ENCODERS[path, separator] = WordEncoder(path, separator)
+    return _ENCODERS[path, separator]
 
 
 def _tokenized(path: str, separator: int):
     def tokenized(batches):
         from pyspark import TaskContext
 
-        if (path, separator) not in _ENCODERS:  # one for each worker, over all its tasks
-            _ENCODERS[path, separator] = WordEncoder(path, separator)
-        encoder, row = _ENCODERS[path, separator], TaskContext.get().partitionId() << 36
+        encoder, row = encoder_of(path, separator), TaskContext.get().partitionId() << 36
         for b in batches:
             ids, lengths = encoder(large(b.column("text")))
             bounds = np.concatenate([[0], np.cumsum(lengths)]) * ids.dtype.itemsize
@@ -110,7 +114,7 @@ def _tokenized(path: str, separator: int):
             )
             row += len(lengths)
 
-    return tokenized
+    return task(tokenized, "packing")
 
 
 def _packets(grain: int):
