@@ -1,9 +1,10 @@
 """Removal of multi-line chunks that occur elsewhere in the corpus.
 
-A rolling hash over the hashes of the last lines ends a chunk wherever it is divisible by ``divisor``: borders depend on the lines
-around them alone, so text that was inserted above does not shift them. Only numbers move to find chunks that occur more than
-once (group-by with map-side pre-aggregation: a chunk in a third of all documents costs one row per task); the first occurrence
-stays. Then the bytes of every other occurrence are compared with those of the first, and the few that differ, if any, are kept.
+Every run of ``window`` lines is a chunk, so a repeated passage is found whatever stands around it and wherever it begins. Only numbers
+move to find chunks that occur more than once (group-by with map-side pre-aggregation: a chunk in a third of all documents costs one
+row per task); the first occurrence stays. Then the bytes of every other occurrence are compared with those of the first, and the few
+that differ, if any, are kept. With a ``divisor`` above 1 chunks are coarse and do not overlap: a rolling hash over the last lines ends
+one wherever it is divisible by it, and repeats that hold no whole chunk are not found.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 from .common import mix, session_of, staged, task
 
 
-def chunks(lines: list[str], window: int = 2, divisor: int = 4, most: int = 64) -> tuple[np.ndarray, np.ndarray, list[np.uint64]]:
-    """First line, end (exclusive) and hash of each chunk. A last line alone joins the chunk before it."""
+def chunks(lines: list[str], window: int = 2, divisor: int = 1, most: int = 64) -> tuple[np.ndarray, np.ndarray, list[np.uint64]]:
+    """First line, end (exclusive) and hash of each chunk. With divisor 1 all runs of window lines; else a last line alone joins the chunk before it."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
     rolling = np.zeros(len(h), np.uint64)
     for back in range(min(window, len(h))):
         rolling[back:] = mix(rolling[back:], h[: len(h) - back])
+    if divisor == 1:
+        ends = np.arange(window, len(h) + 1)
+        return ends - window, ends, list(rolling[window - 1 :])
     ends, start = [], 0
     for at in (np.flatnonzero(rolling % np.uint64(divisor) == 0) + 1).tolist() + [len(h)]:
         while at - start > most:
@@ -92,13 +96,15 @@ def _cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 4, most: int = 64) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 1, most: int = 64) -> DataFrame:
     """docs with text cleaned, lines (how many there were) and removed (array of first and last line, from 0).
 
     docs: doc_id long, text string; other columns pass through, but for columns named lines or removed, which are replaced. A
-    chunk has two lines at least and about ``divisor`` on average, ``most`` at most; of equal chunks the one with the smallest
-    doc_id (null last), then the first in its text stays. A text of which nothing stays becomes empty; a null text stays null and
-    has 0 lines. Rows that repeat both doc_id and text are one document: all of them are treated alike.
+    chunk is a run of ``window`` lines, two at least (with a divisor above 1: two lines at least, about ``divisor`` on average, ``most``
+    at most); of equal chunks the one with the smallest doc_id (null last), then the first in its text stays, but for lines that
+    another chunk takes: each line that goes stays somewhere before. A chunk that overlaps the first of its kind stays too. Chunks
+    that overlap are removed as one. A text of which nothing stays becomes empty; a null text stays null and has 0 lines. Rows that
+    repeat both doc_id and text are one document: all of them are treated alike.
     """
     session_of(docs)
     own = [c for c in docs.columns if c not in ("lines", "removed", "text")]
@@ -108,7 +114,8 @@ def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 4, most: int = 6
     found = rows.mapInArrow(_chunked(window, divisor, most), "doc_id long, content long, first int, last int, key long")
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content", "first")
     firsts = found.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(at).alias("at")).where("many > 1").select("key", "at")
-    marks = found.join(firsts, "key").select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), F.struct("first", "last", "key", (at == F.col("at")).alias("stays")).alias("mark"))
+    beside = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("content") == F.col("at.content")) & (F.col("first") - F.col("at.first") <= F.col("last") - F.col("first"))
+    marks = found.join(firsts, "key").select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), F.struct("first", "last", "key", beside.alias("stays")).alias("mark"))
     marks = marks.distinct().groupBy("_doc", "_content").agg(F.collect_list("mark").alias("marks"))
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_content"))
     marked = staged(docs.join(marks, same, "left").drop("_doc", "_content").withColumnRenamed("marks", "_marks"))
@@ -118,12 +125,13 @@ def line_dedup(docs: DataFrame, window: int = 2, divisor: int = 4, most: int = 6
     stays = repeated.where("exists(marks, m -> m.stays)").mapInArrow(_texts(True), shape).select("key", F.col("chunk").alias("_first")).groupBy("key").agg(F.min("_first").alias("_first"))
     goes = repeated.where("exists(marks, m -> not m.stays)").mapInArrow(_texts(False), shape)
     differ = staged(goes.join(stays, "key").where("chunk <> _first").select(F.col("doc_id").alias("_doc"), F.col("content").alias("_content"), "first").distinct())
-    gone = F.expr("transform(array_sort(filter(coalesce(_marks, array()), m -> not m.stays)), m -> struct(m.first, m.last))")
+    merged = "aggregate(array_sort({}), cast(array() as array<struct<first:int,last:int>>), (a, m) -> if(size(a) > 0 and element_at(a, -1).last >= m.first, concat(slice(a, 1, size(a) - 1), array(struct(element_at(a, -1).first, m.last))), concat(a, array(struct(m.first, m.last)))))"
+    gone = F.expr(merged.format("filter(coalesce(_marks, array()), m -> not m.stays)"))
     if not differ.isEmpty():  # equal hashes of different chunks
         differ = differ.groupBy("_doc", "_content").agg(F.collect_set("first").alias("_differ"))
         same = marked["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(marked["text"]) == F.col("_content"))
         marked = marked.join(differ, same, "left")
-        gone = F.expr("transform(array_sort(filter(coalesce(_marks, array()), m -> not m.stays and not array_contains(coalesce(_differ, array()), m.first))), m -> struct(m.first, m.last))")
+        gone = F.expr(merged.format("filter(coalesce(_marks, array()), m -> not m.stays and not array_contains(coalesce(_differ, array()), m.first))"))
     done = marked.withColumn("removed", gone).withColumn("lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("int"))
     done = done.withColumn("lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("lines")))
     return done.withColumn("text", F.arrow_udf(_cleaned, "string")("text", "removed")).select(*own, "text", "lines", "removed")
