@@ -7,7 +7,9 @@ lost executor never takes with it the only copy of anything.
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -72,6 +74,14 @@ def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage: files of shuffles that nothing refers to any more stay on the executors' disks until it does."""
+    for _ in range(2):  # what the first round lets go of holds files of its own
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def scalar(df: DataFrame):
     """The one value of a one-row aggregate."""
     return df.first()[0]

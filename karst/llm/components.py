@@ -39,8 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def shingles(texts: pa.Array) -> list[np.ndarray]:
-    """Sorted different hashes of each text's runs of five words (lower case, cut at white space); a shorter text is one run."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts (lower case, cut at white space), and how many each text has."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(large(texts)))
     flat = pc.list_flatten(lists)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -51,6 +51,12 @@ def shingles(texts: pa.Array) -> list[np.ndarray]:
         real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts))
         h = h[real]
+    return h, counts
+
+
+def shingles(texts: pa.Array) -> list[np.ndarray]:
+    """Sorted different hashes of each text's runs of five words (lower case, cut at white space); a shorter text is one run."""
+    h, counts = word_hashes(texts)
     run = h.copy()
     for k in range(1, SHINGLE):
         run = mix(run[: len(h) - k], h[k:]) if len(h) > k else run[:0]
@@ -86,6 +92,24 @@ def minhash(s: np.ndarray, multipliers: np.ndarray, offsets: np.ndarray) -> np.n
     return best
 
 
+def minhashes(sets: list[np.ndarray], multipliers: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """minhash() of each set, a row each."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    best = np.full((len(sets), len(multipliers)), 0xFFFFFFFF, np.uint32)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        flat = np.concatenate(sets)
+        x = (flat ^ (flat >> np.uint64(32))).astype(np.uint32)
+        starts = (np.cumsum(sizes) - sizes)[full]
+        with np.errstate(over="ignore"):
+            for k, (m, o) in enumerate(zip(multipliers, offsets, strict=True)):
+                y = x * m + o
+                y ^= y >> np.uint32(15)
+                y *= np.uint32(0x85EBCA6B)
+                best[full, k] = np.minimum.reduceat(y, starts)
+    return best
+
+
 def hash_family(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)

@@ -48,9 +48,14 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import collected
     from .paragraph_dedup import paragraph_dedup
+    from .passage_dedup import passage_dedup
 
-    return paragraph_dedup(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("content")
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    passages = passage_dedup(docs)
+    collected(spark)
+    return paragraph_dedup(docs).unionByName(passages, allowMissingColumns=True).drop("content")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
