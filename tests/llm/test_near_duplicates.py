@@ -131,7 +131,7 @@ def test_chunks_differ_where_hashes_do_not(spark, monkeypatch):
     rows = [(k, f"first line {k}\nsecond line {k}") for k in range(4)] + [(9, "first line 1\nsecond line 1")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
 
-    def same(window, divisor, most):
+    def same(window, divisor):
         def chunked(batches):
             import pyarrow as pa
 

@@ -2,6 +2,9 @@
 
 import random
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from karst.llm import line_dedup as L
 
 
@@ -41,3 +44,31 @@ def test_lines_that_go_stand_before(docs):
     for r in found:
         if r["lines"]:
             assert {k for s in r["removed"] for k in range(s["first"], s["last"] + 1)} == gone.get(r["doc_id"], set())
+
+
+def test_borders_depend_on_what_stands_around_them():
+    """With coarse borders a passage's inner chunks are the same wherever it stands; all chunks of a text are side by side."""
+    rng = random.Random(9)
+    line = lambda: f"l{rng.randrange(10**9)}"
+    passage = [line() for _ in range(60)]
+    texts = ["\n".join([*(line() for _ in range(n)), *passage, *(line() for _ in range(5))]) for n in (0, 1, 7, 30)] + ["", "one", "one\ntwo", "x\n" * 9]
+    doc, first, last, key = L.chunks(pa.array(texts), 2, 4)
+    inner = [{int(k) for k, a, z in zip(key[doc == d], first[doc == d], last[doc == d], strict=True) if n < a and z < n + 60} for d, n in enumerate((0, 1, 7, 30))]
+    assert len(set.intersection(*inner)) >= 5
+    for d, text in enumerate(texts):
+        a, z = first[doc == d], last[doc == d]
+        assert (z > a).all() and (a[1:] == z[:-1] + 1).all()
+        assert (a.tolist()[:1], z.tolist()[-1:]) == (([0], [text.count("\n")]) if "\n" in text else ([], []))
+
+
+def test_clashing_names_and_no_rows(spark, docs):
+    """Columns with names that the operator uses inside pass through as they are."""
+    names = ("_doc", "_content", "_marks", "_differ", "content", "key", "first", "removed", "lines", "c")
+    clash = docs.select("doc_id", "text", *(F.lit(n).alias(n) for n in names))
+    got = L.line_dedup(clash)
+    assert set(got.columns) == {"doc_id", "text", *names}
+    rows = got.collect()
+    assert len(rows) == docs.count() and all(r[n] == n for r in rows for n in names if n not in ("removed", "lines"))
+    assert sorted(map(str, got.select("doc_id", "text", "lines", "removed").collect())) == sorted(map(str, L.line_dedup(docs).select("doc_id", "text", "lines", "removed").collect()))
+    nothing = L.line_dedup(spark.createDataFrame([(None, None), (None, None)], "doc_id long, text string")).collect()
+    assert [(r["text"], r["lines"], r["removed"]) for r in nothing] == [(None, 0, [])] * 2
