@@ -39,16 +39,43 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
+#: A random number for each byte, and powers of an odd one with their inverses (made longer as texts ask for them).
+_BYTES = np.random.default_rng(17).integers(0, 1 << 64, 256, dtype=np.uint64)
+_ODD = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers and their inverses, modulo 2^64; a batch's texts bound n."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = (np.cumprod(np.append(np.uint64(1), np.full(n - 1, x, np.uint64)), dtype=np.uint64) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def string_hashes(strings: pa.LargeStringArray) -> np.ndarray:
+    """A 64-bit hash of each string: a polynomial of its bytes, all from one prefix sum over the bytes of the array."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    if not len(strings) or offsets[-1] == offsets[0]:
+        return mix(np.zeros(len(strings), np.uint64), np.zeros(len(strings), np.uint64))
+    data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    at = offsets - offsets[0]
+    powers, inverse = _powers(len(data))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * powers, out=sums[1:])
+        sums = sums[at]
+        first = np.minimum(at[:-1], len(data) - 1)
+        return mix((sums[1:] - sums[:-1]) * inverse[first], np.diff(at).astype(np.uint64))
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts (lower case, cut at white space), and how many each text has."""
     lists = pc.utf8_split_whitespace(pc.utf8_lower(large(texts)))
     flat = pc.list_flatten(lists)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = pc.dictionary_encode(flat)
-    words = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in coded.dictionary.cast(pa.large_binary()).to_pylist()), np.uint64, len(coded.dictionary))
-    h = words[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.uint64)
-    if pc.any(pc.equal(pc.binary_length(flat), 0)).as_py():
-        real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    h = string_hashes(flat)
+    real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    if not real.all():
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[real], minlength=len(counts))
         h = h[real]
     return h, counts
@@ -148,7 +175,7 @@ def _links_of(node: list[bytes], side: np.ndarray, sets: list[np.ndarray], simil
     same = split in (0, len(node))
     a, b = (np.arange(len(node)), np.arange(len(node))) if same else (np.arange(split), np.arange(split, len(node)))
     size = np.array([len(s) for s in sets], np.float64)
-    links, parent = np.zeros(len(node), np.int64), list(range(len(node)))
+    links = np.zeros(len(node), np.int64)
     if same and len(node) == 2:
         common = np.intersect1d(*sets, assume_unique=True).size
         good = np.array([[False, True], [True, False]]) & (common >= similar * (size.sum() - common) - 1e-9)
@@ -160,13 +187,18 @@ def _links_of(node: list[bytes], side: np.ndarray, sets: list[np.ndarray], simil
     links[a] += good.sum(axis=1)
     if not same:
         links[b] += good.sum(axis=0)
-    for i in range(len(a)):
-        for j in b[good[i]].tolist():
-            x, y = find(parent, int(a[i])), find(parent, j)
-            if x != y:
-                x, y = (x, y) if node[x] <= node[y] else (y, x)
-                parent[y] = x
-    return links, [find(parent, k) for k in range(len(node))]
+    order = np.array(sorted(range(len(node)), key=node.__getitem__), np.int64)
+    label = np.empty(len(node), np.int64)  # the place by name of the smallest member known to hang together with each
+    label[order] = np.arange(len(node))
+    while True:
+        new = label.copy()
+        new[a] = np.minimum(new[a], np.where(good, label[b][None, :], len(node)).min(axis=1))
+        if not same:
+            new[b] = np.minimum(new[b], np.where(good, label[a][:, None], len(node)).min(axis=0))
+        new = new[order][new]  # a smallest member's own smallest member
+        if (new == label).all():
+            return links, order[label].tolist()
+        label = new
 
 
 def _linked(similar: float):
