@@ -20,7 +20,7 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) + [None]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_scores_equal_brute_force(docs, order):
     rows = docs.select("doc_id", "text").collect()
     counts = collections.Counter()
@@ -61,17 +61,55 @@ def test_many_blocks_and_buckets_give_the_same(docs, monkeypatch):
     assert key(M.lm_scores(docs)) == want
 
 
-def test_the_automaton_is_a_distribution(spark):
-    """Over all known words and one unknown the probabilities of a state sum to one."""
+def walked(machine, lengths):
+    """The weights by a plain walk over arcs and failure arcs, a token at a time."""
+    out, i = [], 0
+    for n in lengths:
+        state = machine.start
+        for _ in range(n):
+            weight = 0.0
+            while True:
+                level = machine.level[state]
+                arc = machine.at[level][i] if level < machine.order else -1
+                if arc >= 0 and machine.count[arc] > 0 or level == 0:
+                    state, weight = machine.target[arc], weight + machine.weight[arc]
+                    break
+                weight += machine.backoff[state]
+                state = machine.fail[state]
+            out.append(weight)
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("order,lane", [(1, 4), (2, 3), (3, 1), (3, 7), (4, 2), (4, 256)])
+def test_lanes_carry_states_as_a_walk_does(order, lane, monkeypatch):
     import numpy as np
-
-    c1 = np.array([5, 3, 2, 0])
-    total, kinds = 10, 3
-    c2 = np.array([4, 0, 1, 0])
-    p = 10 ** M.traverse([np.repeat(c1, 1), c2], np.array([4]), 5, total, kinds, 100.0)[0]
-    root = 10 ** M.traverse([c1], np.array([4]), 5, total, kinds, 100.0)[0]
-    assert abs(root.sum() - 1) < 1e-12
-    assert abs((c2[0] + 100 * root[0]) / 105 - p[0]) < 1e-12
+    import pyarrow as pa
+
+    rng = random.Random(order)
+    monkeypatch.setattr(M, "LANE", lane)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 40))) for _ in range(30)]
+    words, codes, lengths = M.tokens(pa.array(texts, pa.large_string()))
+    trained = np.repeat(np.arange(len(texts)) % 3 > 0, lengths)
+    places, counts = [], []
+    for _, unique, place in M.grams(words, codes, lengths, order):
+        places.append(place)
+        counts.append(np.bincount(place[(place >= 0) & trained], minlength=len(unique)))
+    machine = M.Automaton(places, counts, lengths, 20, int(trained.sum()), int((counts[0] > 0).sum()), 100.0)
+    assert np.allclose(machine.traverse(lengths), walked(machine, lengths), atol=1e-12)
+    # all that leaves a state sums to one: its arcs, and its failure arc times what the next state's other arcs hold
+    for state in range(2 if order > 1 else 0, len(machine.count)):
+        if order > 1 and machine.level[state] == 1 and machine.count[state] > 0 and state != machine.at[0][-1]:  # nothing follows an end
+            words_ = range(2, 2 + len(counts[0]))
+            p = 10 ** machine.weight[list(words_)]
+            unknown = 1 / (int(trained.sum()) + int((counts[0] > 0).sum()) + 1)
+            seen = {}
+            for i in np.flatnonzero(machine.at[1] >= 0):
+                if i and machine.at[0][i - 1] == state and not any(i == e for e in np.cumsum(lengths)):
+                    seen[machine.at[0][i]] = machine.at[1][i]
+            arcs = sum(10 ** machine.weight[g] for g in seen.values() if machine.count[g] > 0)
+            rest = sum(p[w - 2] for w in words_ if machine.count[w] > 0 and not (w in seen and machine.count[seen[w]] > 0)) + unknown
+            assert abs(arcs + 10 ** machine.backoff[state] * rest - 1) < 1e-9
 
 
 def test_empty_and_untrained(spark, empty):
