@@ -20,22 +20,37 @@ ARCS_SENT = 2_000_000
 MOST_ROUNDS = 100_000
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset, as in tests, a temporary folder."""
+    """A new folder below spark.checkpoint.dir. Where that is unset a local session takes a temporary folder; on a cluster it is an error."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("karst.test.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="karst-")
         spark.conf.set("karst.test.dir", top)
-    return f"{top.rstrip('/')}/karst-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{top.rstrip('/')}/karst-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: lineage ends there."""
+def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """The rows as a table in the shared folder: lineage ends there, and every reader sees the same rows."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard_written(spark: SparkSession) -> int:
+    """Deletes all tables that queries of this process have written so far; results that were not saved elsewhere can't be read any more."""
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def walks(seeds: DataFrame, arcs: DataFrame, arcs_sent: int = ARCS_SENT) -> DataFrame:
     """walk, node for every state that each walk reaches, its seeds included.
 
