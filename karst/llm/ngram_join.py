@@ -2,7 +2,8 @@
 
 Each text is a set of shingles; equal sets are one class from the start. In each of several runs a set samples some of its tokens
 (a token t if its hash in that run is below 1 / (similarity * size), so that similar sets sample the same tokens), goes into the
-bucket of each, samples again within large buckets, and so on. Buckets that are small enough, or at the last level, are compared
+bucket of each, samples again within large buckets, and so on, to a depth that grows with the logarithm of the number of texts.
+Buckets that are small enough, or at the last level, are compared
 by brute force on 128 one-byte minhashes; runs are repeated until a pair at the similarity has met with the target chance. What
 passes is joined into candidate groups, and within these every pair is verified on the full sets, whether or not it had met.
 
@@ -23,13 +24,19 @@ from .common import by_groups, mix, session_of, staged, task
 from .components import SIMILAR, components, exact_links, find, hash_family, minhash, packed_sets, set_key, shingles
 
 SKETCH = 128
-LEVELS = 3
+#: Levels of splitting, at least; and by how many times the texts must grow (as a power of two) for one more.
+LEVELS, GROWTH = 3, 6
 #: A bucket up to this size is compared at once; larger ones are split while there are levels left.
 SMALL = 64
 #: Sets of a bucket that are compared in one task.
 BLOCK = 2048
 
 
+def levels_for(texts: int) -> int:
+    """Levels of splitting: dissimilar sets that share one common token part at the next level, so the logarithm of the texts is enough."""
+    return max(LEVELS, -(-texts.bit_length() // GROWTH))
+
+
 def runs_for(similar: float, recall: float, levels: int = LEVELS) -> int:
     """Runs after which a pair of the given similarity has met with the target chance, in the worst case of sizes.
 
@@ -61,7 +68,7 @@ def path_levels(s: np.ndarray, runs: int, similar: float, levels: int) -> list[t
     return out
 
 
-def _described(runs: int, similar: float, family):
+def _described(runs: int, levels: int, similar: float, family):
     """For each document the name of its set; with it the size, the sketch and the chosen paths."""
 
     def described(batches):
@@ -70,8 +77,8 @@ def _described(runs: int, similar: float, family):
             out: dict[str, list] = {k: [] for k in ("node", "sketch", "path", "up")}
             for s in sets:
                 if len(s):
-                    levels = path_levels(s, runs, similar, LEVELS)
-                    row = (set_key(s), minhash(s, *family).astype(np.uint8).tobytes(), [x.view(np.int64).tolist() for x, _ in levels], [u.tolist() for _, u in levels])
+                    paths = path_levels(s, runs, similar, levels)
+                    row = (set_key(s), minhash(s, *family).astype(np.uint8).tobytes(), [x.view(np.int64).tolist() for x, _ in paths], [u.tolist() for _, u in paths])
                 else:
                     row = (None, None, None, None)
                 for k, v in zip(out, row, strict=True):
@@ -124,19 +131,19 @@ def _members(batches):
         yield pa.RecordBatch.from_arrays([b.column("node").filter(kept), b.column("candidate").filter(kept), pa.array(packed_sets([s for s, r in zip(sets, right, strict=True) if r]), pa.binary())], names=["node", "candidate", "tokens"])
 
 
-def candidate_edges(sets: DataFrame, similar: float) -> DataFrame:
+def candidate_edges(sets: DataFrame, similar: float, levels: int) -> DataFrame:
     """Spanning links between sets that met in a bucket and whose sketches agree. sets: node, sketch, path, up; repeated rows count once."""
     # three standard deviations below what a pair at the similarity agrees in
     expected = similar + (1 - similar) / 256
     least = int(SKETCH * (expected - 3.3 * (expected * (1 - expected) / SKETCH) ** 0.5))
     buckets = None
     rows = sets.select("node", F.posexplode(F.col("path")[0]).alias("place", "bucket")).distinct()
-    for level in range(LEVELS):
+    for level in range(levels):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found = rows.join(sizes, "bucket")
-        own = (found if level == LEVELS - 1 else found.where(F.col("n") <= SMALL)).select("node", "bucket", "n")
+        own = (found if level == levels - 1 else found.where(F.col("n") <= SMALL)).select("node", "bucket", "n")
         buckets = own if buckets is None else buckets.unionAll(own)
-        if level < LEVELS - 1:
+        if level < levels - 1:
             below = sets.select("node", F.col("path")[level + 1].alias("p"), F.col("up")[level + 1].alias("u")).dropDuplicates(["node"])
             split = found.where(F.col("n") > SMALL).select("node", "place").join(below, "node")
             own = F.expr("filter(transform(p, (x, k) -> struct(k as place, x as bucket, u[k] as up)), c -> c.up = place)")
@@ -162,10 +169,11 @@ def ngram_join(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999)
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shape = "doc_id long, content long, node binary, sketch binary, path array<array<long>>, up array<array<int>>"
-    known = staged(docs.withColumn("content", F.xxhash64("text")).mapInArrow(_described(runs_for(similar, recall), similar, hash_family(SKETCH, 11)), shape))
+    levels = levels_for(docs.select().count())
+    known = staged(docs.withColumn("content", F.xxhash64("text")).mapInArrow(_described(runs_for(similar, recall, levels), levels, similar, hash_family(SKETCH, 11)), shape))
     named = known.where("node is not null")
     heads = named.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
-    candidates = components(staged(candidate_edges(named, similar)))
+    candidates = components(staged(candidate_edges(named, similar, levels)))
     # texts of members: one document of each candidate set, found again by its id and told apart by its set's name
     of = candidates.join(heads, "node").select("node", F.col("root").alias("candidate"), F.col("head").alias("_head"))
     members = docs.join(of, docs["doc_id"].eqNullSafe(of["_head"])).select("text", "node", "candidate").mapInArrow(task(_members), "node binary, candidate binary, tokens binary")
@@ -189,7 +197,8 @@ def one_of_each(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999
     worded = F.length("root") > 0
     kept = found.where(worded).groupBy("root").agg(F.min("doc_id").alias("_doc"), F.min("content").alias("_content")).select("_doc", "_content", F.lit(True).alias("_one"))
     kept = kept.unionAll(found.where(~worded).select("doc_id", "content", F.lit(False)).distinct())
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_content"))
-    stay = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).join(kept, same)
+    named = {c: f"_own_{k}" for k, c in enumerate(docs.columns)}  # no column of docs can be taken for one of ours
+    stay = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in named.items())).withColumn("_hash", F.xxhash64(F.col(named["text"]).cast("string")))
+    stay = stay.join(kept, F.col(named["doc_id"]).cast("long").eqNullSafe(F.col("_doc")) & F.col("_hash").eqNullSafe(F.col("_content")))
     stay = stay.withColumn("_row", F.when(F.col("_one"), F.lit(0)).otherwise(F.monotonically_increasing_id()))
-    return stay.dropDuplicates(["doc_id", "_hash", "_row"]).select(*docs.columns)
+    return stay.dropDuplicates([named["doc_id"], "_hash", "_row"]).select(*(F.col(n).alias(c) for c, n in named.items()))
