@@ -31,6 +31,8 @@ SAMPLE, TUNING, LISTS = 8_000, 64, 4_096
 LIST_CHUNK, QUERY_CHUNK = 4_096, 1_024
 #: Columns of a block, and the width of the hypothesis test.
 COLUMNS, WIDTH = 16, 2.1
+#: Queries that one task plans, about, and that are held against the sample at once.
+PLANNED, TURN = 512, 256
 
 
 def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -174,36 +176,41 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, recall: floa
     for r in indexed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # at most LISTS rows
         sizes[r["list"]] = r["n"]
 
-    queries = rows.where(F.col("vec_id") % query_every == 0).distinct()
+    spread = max(2, -(-total // (query_every * PLANNED)))
+    queries = rows.where(F.col("vec_id") % query_every == 0).repartition(spread, "vec_id").distinct()
     probes = _tuned_probes(spark, model, indexed, queries.where(F.pmod(F.xxhash64("vec_id", F.lit("tune")), F.lit(16)) < 8).limit(TUNING), k, recall)
 
+    kinds = {"list": pa.int32(), "bound": pa.float64(), "turned": pa.binary(), "vector": pa.binary(), "found": pa.int64(), "score": pa.float64()}
+
+    def rows_of(ids: np.ndarray, uids: np.ndarray, **given) -> pa.RecordBatch:
+        columns = [pa.array(given[c], t) if c in given else pa.nulls(len(ids), t) for c, t in kinds.items()]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(uids, pa.int64()), *columns], names=["vec_id", "uid", *kinds])
+
     def probing(batches):
         index = model.value
+        everything = index.turned(index.sample, False).astype(np.float64)
+        lengths = (everything**2).sum(axis=1)
         for b in batches:
-            x, ids = matrix(b.column("x")), b.column("vec_id").to_numpy()
-            y, everything = index.turned(x, True), index.turned(index.sample, False)
-            lists, rows = index.order(y), {n: [] for n in ("vec_id", "uid", "list", "bound", "turned", "vector", "found", "score")}
-
-            def add(*values):
-                for name, v in zip(rows, values, strict=True):  # noqa: B023
-                    rows[name].append(v)  # noqa: B023
-
-            for n in range(len(x)):
-                held = np.cumsum(sizes[lists[n]])
-                many = max(probes, int(np.searchsorted(held, k + 1)) + 1)
-                own = np.flatnonzero(index.sample_ids != ids[n])
-                far = ((everything[own] - y[n]) ** 2).sum(axis=1)
-                near = np.argsort(far, kind="stable")[:k]
-                bound = float(far[near[-1]]) * (1 + 1e-4) + 1e-5 * index.norm**2 if len(near) == k else np.inf
-                who, probed = (int(ids[n]), b.column("uid")[n].as_py()), lists[n][:many].tolist()
-                for m in probed:
-                    if sizes[m]:
-                        add(*who, m, bound, y[n].tobytes(), x[n].tobytes(), None, None)
-                missed = own[near][~np.isin(index.sample_lists[own[near]], probed)]
-                for m, score in zip(missed.tolist(), products(index.sample[missed], x[n]).tolist(), strict=True):
-                    add(*who, None, None, None, None, int(index.sample_ids[m]), score)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+            x, ids, uids = matrix(b.column("x")), b.column("vec_id").to_numpy(), b.column("uid").to_numpy()
+            for turn in range(0, len(x), TURN):
+                part = slice(turn, turn + TURN)
+                y = index.turned(x[part], True)
+                lists = index.order(y)
+                many = np.maximum(probes, (np.cumsum(sizes[lists], axis=1) <= k).sum(axis=1) + 1)
+                far = lengths + (y.astype(np.float64) ** 2).sum(axis=1)[:, None] - 2 * y.astype(np.float64) @ everything.T
+                far[index.sample_ids == ids[part][:, None]] = np.inf
+                near = np.argsort(far, axis=1, kind="stable")[:, :k]
+                last = np.take_along_axis(far, near[:, -1:], axis=1)[:, 0]
+                bound = np.where((near.shape[1] == k) & np.isfinite(last), last * (1 + 1e-4) + 1e-5 * index.norm**2, np.inf)
+                probed = (np.arange(lists.shape[1]) < many[:, None]) & (sizes[lists] > 0)
+                own, place = np.nonzero(probed)
+                turned, vector = (pa.array([v.tobytes() for v in a], pa.binary()) for a in (y, x[part]))
+                yield rows_of(ids[part][own], uids[part][own], list=lists[own, place], bound=bound[own], turned=turned.take(pa.array(own)), vector=vector.take(pa.array(own)))
+                # of the nearest of the sample those that lie in no probed list
+                outside = np.take_along_axis(np.argsort(lists, axis=1), index.sample_lists[near], axis=1) >= many[:, None]
+                own, place = np.nonzero(outside & (np.take_along_axis(far, near, axis=1) < np.inf))
+                which = near[own, place]
+                yield rows_of(ids[part][own], uids[part][own], found=index.sample_ids[which], score=products(index.sample[which], x[part][own]))
 
     shape = "vec_id long, uid long, list int, bound double, turned binary, vector binary, found long, score double"
     asked = staged(queries.withColumn("uid", F.xxhash64("vec_id", "x")).mapInArrow(probing, shape))
