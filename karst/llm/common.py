@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +16,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
+from karst.plans.fixpoint import shared_dir, written  # noqa: F401
+
 #: Bytes of text that one Arrow batch carries to Python, at most (a single row may be longer).
 BATCH_BYTES = 4 << 20
 
@@ -58,20 +58,8 @@ def session_of(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir. Only where that is unset (tests), a temporary folder takes its place."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("karst.test.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="karst-")
-        spark.conf.set("karst.test.dir", top)
-    return f"{top.rstrip('/')}/karst-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again: lineage ends there, and every reader sees the same rows."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: The rows written as Parquet to the shared folder and read again.
+staged = written
 
 
 def collected(spark: SparkSession) -> None:

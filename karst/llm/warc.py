@@ -4,7 +4,7 @@ Writing: equal payloads are found by SHA-256 with a pre-aggregated group-by, one
 others revisit it. Every task writes its own files, under names that no other attempt uses, and returns one index row per record;
 Spark commits the rows of the attempt that succeeded, so files of lost attempts are never referred to.
 
-Reading: the index rows are ranged by (file, offset); neighbours are read together, one range request for records whose gap is
+Reading: the index rows are ranged by (file, offset), in as many tasks as their bytes ask for; neighbours are read together, one range request for records whose gap is
 small, up to a bounded size. Only the ranges that hold selected records are fetched.
 """
 
@@ -19,12 +19,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import session_of, shared_dir, staged
+from .common import scalar, session_of, shared_dir, staged
 
 #: Payloads below this are never deduplicated.
 LEAST_SHARED = 100
 #: Bytes of a file, of one range read, and of a gap that a range read bridges.
 FILE_BYTES, RANGE_BYTES, GAP_BYTES = 1 << 30, 8 << 20, 64 << 10
+#: Bytes of records that one task reads, about.
+TASK_BYTES = 16 << 20
 
 INDEX = "file string, offset long, length long, url string, payload_digest string, record_id long, page_id long, record_type string"
 
@@ -168,7 +170,8 @@ def read_archives(selected: DataFrame, payloads: bool = True) -> DataFrame:
     (see resolved()). No index rows give no records; a record whose bytes do not match its digest stops the job.
     """
     session_of(selected)
-    ranged = selected.select("file", "offset", "length", "page_id").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    tasks = 1 + scalar(selected.agg(F.coalesce(F.sum("length"), F.lit(0)))) // TASK_BYTES
+    ranged = selected.select("file", "offset", "length", "page_id").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return ranged.mapInArrow(_reader(payloads), "record_id long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, target long, payload binary")
 
 
