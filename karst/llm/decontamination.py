@@ -5,8 +5,9 @@ region of a document within ``edits`` of a window of m characters shares at leas
 on diagonals that differ by ``edits`` at most. So the q-grams of every document are looked up in the index of the benchmark,
 hits are counted in diagonal bands that overlap by half, and bands that reach the bound are aligned.
 
-The index is sent to the executors in blocks of at most BLOCK_CHARS characters of benchmark, whatever its size; documents are
-read once for each block and are never shuffled.
+Windows that are equal, as those of a template that many items share, are one window with the items it stands for: documents are
+held against it once. The index is sent to the executors in blocks of at most BLOCK_CHARS characters of benchmark, whatever its size,
+one block at a time; documents are read once for each block and are not shuffled while one block is enough.
 """
 
 from __future__ import annotations
@@ -18,9 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import large, release, session_of, task
+from .common import large, release, session_of, staged, task
 
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 4 << 20
+#: Windows begin this many to a window's length: a passage of a window and a STEPS-th of one more holds a whole window.
+STEPS = 4
 #: Characters of texts that are searched together.
 GROUP_CHARS = 1 << 20
 #: Bits of the table that sorts out most q-grams.
@@ -75,24 +78,29 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], q: int, window: int, rate: float):
         self.q, self.rate = q, rate
         chars, _, bounds = folded([t for _, t in items])
-        self.item, self.window, keys, posts, offsets = [], [], [], [], []
+        self.items, self.window, keys, posts, offsets = [], [], [], [], []
+        known: dict[bytes, int] = {}
         grams = qgrams(chars, q)
         for (item, _), a, z in zip(items, bounds, bounds[1:], strict=False):
             if z > a and chars[z - 1] == 32:
                 z -= 1
-            starts = [a] if z - a <= window else [*range(a, z - window, window // 2), z - window]
+            starts = [a] if z - a <= window else [*range(a, z - window, max(1, window // STEPS)), z - window]
             for s in starts:
                 e = min(z, s + window)
                 if e - s < q:
                     continue
+                place = known.setdefault(chars[s:e].tobytes(), len(self.window))
+                if place < len(self.window):
+                    self.items[place].add(item)
+                    continue
                 n = e - s - q + 1
                 keys.append(grams[s : s + n])
-                posts.append(np.full(n, len(self.item)))
-                offsets.append(np.arange(n))
-                self.item.append(item)
+                posts.append(np.full(n, place, np.int32))
+                offsets.append(np.arange(n, dtype=np.int32))
+                self.items.append({item})
                 self.window.append(chars[s:e])
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        keys, posts, offsets = join(keys, np.uint64), join(posts, np.int64), join(offsets, np.int64)
+        keys, posts, offsets = join(keys, np.uint64), join(posts, np.int32), join(offsets, np.int32)
         order = np.argsort(keys, kind="stable")
         self.post, self.offset = posts[order], offsets[order]
         self.keys, self.begin = np.unique(keys[order], return_index=True)
@@ -104,7 +112,7 @@ class Index:
         self.table[(self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
     def regions(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
-        """(text, item, first character, end, edits) of each window found. Whole texts, about GROUP_CHARS characters at a time."""
+        """(text, window, first character, end, edits) of each window found. Whole texts, about GROUP_CHARS characters at a time."""
         found, a = [], 0
         while a < len(texts):
             z, size = a, 0
@@ -167,7 +175,7 @@ class Index:
             hit = aligned(self.window[w], chars[a:z], e)
             if hit:
                 first, end, edits = hit
-                done.add((d, self.item[w], int(where[a + first]), int(where[a + end - 1]) + 1, edits))
+                done.add((d, w, int(where[a + first]), int(where[a + end - 1]) + 1, edits))
         return sorted(done)
 
 
@@ -191,15 +199,19 @@ def aligned(pattern: np.ndarray, region: np.ndarray, edits: int) -> tuple[int, i
 
 
 def _blocks(docs: DataFrame, benchmark: DataFrame, q: int, window: int, rate: float):
-    """The index of each block of the benchmark, as a broadcast of bounded size."""
+    """How many blocks the benchmark has, and the index of each in turn as a broadcast of bounded size, which the caller destroys."""
     spark = session_of(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-2 * chars // BLOCK_CHARS) if chars > BLOCK_CHARS else 1
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
-        rows = sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in part.collect())  # about BLOCK_CHARS characters
-        yield spark.sparkContext.broadcast(Index(rows, q, window, rate))
+
+    def each():
+        for block in range(blocks):
+            part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block) if blocks > 1 else items
+            rows = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))  # about BLOCK_CHARS characters
+            yield spark.sparkContext.broadcast(Index(rows, q, window, rate))
+
+    return blocks, each()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 96, rate: float = 0.06) -> DataFrame:
@@ -217,9 +229,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int
             for b in batches:
                 ids, texts = b.column("doc_id"), large(b.column("text")).to_pylist()
                 best: dict[tuple, list] = {}
-                for d, item, first, end, edits in index.value.regions(texts):
-                    old = best.setdefault((d, item), [first, end, edits, 0])
-                    best[d, item] = [min(old[0], first), max(old[1], end), min(old[2], edits), old[3] + 1]
+                for d, w, first, end, edits in index.value.regions(texts):
+                    for item in index.value.items[w]:
+                        old = best.setdefault((d, item), [first, end, edits, 0])
+                        best[d, item] = [min(old[0], first), max(old[1], end), min(old[2], edits), old[3] + 1]
                 rows = [(ids[d].as_py(), item, *v) for (d, item), v in best.items()]
                 kinds = [("doc_id", pa.int64()), ("item_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("edits", pa.int32()), ("windows", pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[n for n, _ in kinds])
@@ -227,7 +240,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int
         return task(search)
 
     shape = "doc_id long, item_id long, first int, last int, edits int, windows int"
-    return reduce(DataFrame.unionAll, [docs.mapInArrow(searched(index), shape) for index in _blocks(docs, benchmark, q, window, rate)])
+    blocks, indexes = _blocks(docs, benchmark, q, window, rate)
+    if blocks == 1:
+        return docs.mapInArrow(searched(next(indexes)), shape)
+    parts = []
+    for index in indexes:
+        parts.append(staged(docs.mapInArrow(searched(index), shape)))
+        index.destroy()
+    return reduce(DataFrame.unionAll, parts)  # all texts of one kind, and so all windows of an item, are in one block
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, window: int = 96, rate: float = 0.06) -> DataFrame:
@@ -241,6 +261,14 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, win
 
         return F.arrow_udf(holds_none, "boolean")(F.col("text").cast("string"))
 
-    for index in _blocks(docs, benchmark, q, window, rate):
-        docs = docs.where(clean(index))
-    return docs
+    blocks, indexes = _blocks(docs, benchmark, q, window, rate)
+    if blocks == 1:
+        return docs.where(clean(next(indexes)))
+    text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
+    parts = []
+    for index in indexes:
+        parts.append(staged(text.where(~clean(index)).select(F.sha2("text", 256).alias("_found"))))
+        index.destroy()
+    found = reduce(DataFrame.unionAll, parts).distinct()
+    name = F.sha2(docs["text"].cast("string"), 256)
+    return docs.join(found, name.eqNullSafe(found["_found"]), "left_anti")
