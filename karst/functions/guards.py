@@ -53,3 +53,53 @@ def all_of(values: Column) -> Column:
 def any_of(values: Column) -> Column:
     """Disjunction of three-valued conditions: anything unknown makes it true."""
     return F.exists(values, lambda v: F.coalesce(v, F.lit(True)))
+
+
+def absorbed(alts: Column) -> Column:
+    """Alternatives (present, absent) without the absences that an ordered choice leaves behind: of items that another one asks for."""
+    asked = F.flatten(F.transform(alts, lambda a: a["present"]))
+    return F.transform(alts, lambda a: F.struct(F.array_sort(a["present"]).alias("present"), F.array_sort(F.array_except(a["absent"], asked)).alias("absent")))
+
+
+def factored(alts: Column) -> Column:
+    """present, absent: what all alternatives have in common once absorbed; rest: what else each has, sorted, without those that have nothing."""
+    alts = absorbed(alts)
+    side = lambda name: common(F.transform(alts, lambda a: a[name]))
+    left = F.transform(alts, lambda a: F.struct(F.array_sort(F.array_except(a["present"], side("present"))).alias("present"), F.array_sort(F.array_except(a["absent"], side("absent"))).alias("absent")))
+    rest = F.array_sort(F.array_distinct(F.filter(left, lambda r: (F.size(r["present"]) > 0) | (F.size(r["absent"]) > 0))))
+    return F.struct(side("present").alias("present"), side("absent").alias("absent"), rest.alias("rest"))
+
+
+def _joined(terms: Column, word: str) -> Column:
+    return F.when(F.size(terms) == 1, F.element_at(terms, 1)).otherwise(F.concat(F.lit(f"({word} "), F.array_join(terms, " "), F.lit(")")))
+
+
+def rendered(parts: Column, holds: str = "(gEgo has: {})") -> Column:
+    """A factored guard as a symbolic expression; null if it asks nothing. holds: how the test of one item is spelled."""
+    before, after = (F.lit(x) for x in holds.split("{}"))
+    has = lambda items: F.transform(items, lambda x: F.concat(before, x, after))
+    lacks = lambda items: F.transform(items, lambda x: F.concat(F.lit("(not "), before, x, after, F.lit(")")))
+    ways = F.array_sort(F.array_distinct(F.transform(parts["rest"], lambda r: _joined(F.concat(has(r["present"]), lacks(r["absent"])), "and"))))
+    terms = F.concat(has(parts["present"]), lacks(parts["absent"]), F.when(F.size(ways) > 0, F.array(_joined(ways, "or"))).otherwise(F.array().cast("array<string>")))
+    return F.when(F.size(terms) > 0, _joined(terms, "and"))
+
+
+def in_rectangle(x: Column, y: Column, left: Column, top: Column, right: Column, bottom: Column, width: int = 320, height: int = 190) -> Column:
+    """Whether a point lies in a rectangle; a side at or beyond the screen's border bounds nothing."""
+    return ((left <= 0) | (x >= left)) & ((right >= width - 1) | (x <= right)) & ((top <= 0) | (y >= top)) & ((bottom >= height - 1) | (y <= bottom))
+
+
+def at_edge(x: Column, y: Column, code: Column, margin: int = 4, width: int = 320, height: int = 190) -> Column:
+    """Whether a point is at the edge of the screen that a code names (1 top, 2 right, 3 bottom, 4 left); other codes may be anywhere."""
+    near = F.when(code == 1, y <= margin).when(code == 2, x >= width - margin).when(code == 3, y >= height - margin)
+    return near.when(code == 4, x <= margin).otherwise(F.lit(True))
+
+
+def membership(tests):
+    """guard nodes for (guard, var, values): the register is one of the values: an OR of equalities, or one equality alone."""
+    none = [F.lit(None).cast("string").alias(c) for c in ("kind", "var", "cmp")] + [F.lit(None).cast("int").alias("value")]
+    alone = F.size("values") == 1
+    top = tests.where(~alone).select("guard", F.lit(0).cast("long").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("OR").alias("op"), *none)
+    each = tests.select("guard", "var", alone.alias("alone"), F.posexplode("values").alias("k", "value"))
+    parent = F.when(~F.col("alone"), F.lit(0)).cast("long").alias("parent")
+    return top.unionAll(each.select("guard", (F.col("k") + 1).cast("long").alias("node"), parent, F.lit("ATOM").alias("op"), F.lit("CMP").alias("kind"), "var", F.lit("==").alias("cmp"), F.col("value").cast("int").alias("value")))

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from karst.functions import guards
 from karst.operators import detect, gated, graph, idioms, product
+from karst.plans import guard_queries, idiom_queries  # noqa: F401
 from karst.plans.fixpoint import written
+from karst.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from karst.sources import star
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
 _MODEL = """
 hop AS (SELECT a.l_suppkey src, b.l_suppkey dst, a.l_partkey part, a.l_tax tax, a.l_returnflag f, b.l_returnflag f2, a.l_linestatus s, b.l_linestatus s2
         FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
@@ -54,14 +53,7 @@ alts AS (SELECT site, list_sort(list(alt)) alts FROM offer GROUP BY site)
 
 def _query(sql: str | None = None, model: bool = True):
     """Registers a query; sql: what follows the relations of the model."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = (f"WITH RECURSIVE {_MODEL} " if model else "") + sql
-        return f
-
-    return register
+    return query(sql, _MODEL if model else "")
 
 
 def _pairs(spark, d) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Values of a register by the flags of the tables.
@@ -85,3 +85,31 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     found = items.join(part, items["l_partkey"] == part["p_partkey"])
     return found.groupBy(F.col("l_suppkey").alias("site"), "l_orderkey").agg(F.sort_array(F.collect_set("p_brand")).alias("alt")).select("site", "alt").distinct()
+
+
+def guard_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """guard, node, parent, op, kind, var, cmp, value: a guard tree for each order, its line items as atoms.
+
+    The root is AND for even orders and OR for odd ones. Line items with flag A stand in an OR, those with N in an AND, and those
+    with R below a NOT, with an OR between if they are several. The line number says what an atom is about: an item held, a
+    register compared, an item's place, a counter, or nothing known.
+    """
+    n, open_ = F.col("l_linenumber"), F.col("l_linestatus") == "F"
+    own, cmp, loc = n <= 2, n.between(3, 5), n == 6
+    kind = F.when(own, "OWN").when(cmp, "CMP").when(loc, "LOC").when(open_, "OPAQUE").otherwise("CTR")
+    name = lambda letter, key, mod: F.concat(F.lit(letter), (F.col(key) % mod).cast("string"))
+    var = F.when(own | loc, name("i", "l_partkey", 9)).when(cmp, name("r", "l_suppkey", 3)).when(~open_, name("c", "l_suppkey", 2))
+    op = F.when(n == 3, "==").when(n == 4, "!=").when(n == 5, F.when(F.col("l_suppkey") % 2 == 0, "<").otherwise(">=")).when(loc, "ownedBy").when(~own & ~open_, "==")
+    value = F.when(loc, F.col("l_suppkey") % 5).when(~own & (cmp | ~open_), F.col("l_quantity").cast("long") % 4).cast("int")
+    atoms = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("guard"), F.col("l_returnflag").alias("flag"), kind.alias("kind"), var.alias("var"), op.alias("cmp"), value.alias("value")).distinct()
+    atoms = atoms.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("guard", "flag")))
+    flag, alone = F.col("flag"), F.col("many") == 1
+    none = [F.lit(None).cast("string").alias(c) for c in ("kind", "var", "cmp")] + [F.lit(None).cast("int").alias("value")]
+    place = F.when(flag == "A", 1).when(flag == "N", 2).otherwise(3).cast("long")
+    node = lambda at, parent, op: [F.col("guard"), at.cast("long").alias("node"), parent.cast("long").alias("parent"), op.alias("op")]
+    root = atoms.select("guard").distinct().select(*node(F.lit(0), F.lit(None), F.when(F.col("guard") % 2 == 0, "AND").otherwise("OR")), *none)
+    group = atoms.select("guard", "flag").distinct().select(*node(place, F.lit(0), F.when(flag == "A", "OR").when(flag == "N", "AND").otherwise("NOT")), *none)
+    inner = atoms.where((flag == "R") & ~alone).select("guard").distinct().select(*node(F.lit(4), F.lit(3), F.lit("OR")), *none)
+    at = F.pmod(F.xxhash64("flag", "kind", "var", "cmp", "value"), F.lit(1 << 48)) + 10
+    leaf = atoms.select(*node(at, F.when((flag == "R") & ~alone, 4).otherwise(place), F.lit("ATOM")), "kind", "var", "cmp", "value")
+    return root.unionAll(group).unionAll(inner).unionAll(leaf)

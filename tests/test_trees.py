@@ -1,11 +1,7 @@
 """Trees, guards, machines, surfaces and streams on small hand-written inputs and random ones."""
 
-import itertools
 import json
-import random
 
-from karst.functions import guards as G
-from karst.operators import guard_trees as T
 from karst.operators import machines as M
 from karst.operators import surface as S
 from karst.operators import tree
@@ -66,55 +62,6 @@ def test_forms(spark, tmp_path):
     assert text[rows[0]["first"] : rows[0]["last"]] == text.strip()
 
 
-def random_guard(rng, depth):
-    if depth == 0 or rng.random() < 0.3:
-        return rng.choice([("ATOM", "OWN", str(rng.randrange(4)), None, None), ("ATOM", "CMP", "r", rng.choice(["==", "!=", "<"]), rng.randrange(3))])
-    op = rng.choice(["AND", "OR", "NOT"])
-    return (op, *[random_guard(rng, depth - 1) for _ in range(1 if op == "NOT" else rng.randrange(1, 4))])
-
-
-def required(g, pol=True):
-    if g[0] == "ATOM":
-        return {g[2]} if g[1] == "OWN" and pol else set()
-    if g[0] == "NOT":
-        return required(g[1], not pol)
-    sets = [required(k, pol) for k in g[1:]]
-    return set().union(*sets) if pol == (g[0] == "AND") else set.intersection(*sets)
-
-
-def test_required_items_equal_the_fold(spark):
-    rng = random.Random(3)
-    rows, want, mentioned = [], set(), set()
-    for k in range(60):
-        g = random_guard(rng, 4)
-        want |= {(k, x) for x in required(g)}
-        count = itertools.count()
-
-        def add(g, parent, pol=True):
-            at = next(count)
-            rows.append((k, at, parent, g[0], *(g[1:] if g[0] == "ATOM" else (None,) * 4)))
-            if g[0] == "ATOM":
-                if g[1] == "OWN" and pol:
-                    mentioned.add((k, g[2]))
-                return
-            for x in g[1:]:
-                add(x, at, pol != (g[0] == "NOT"))
-
-        add(g, None)
-    levelled = T.levels(spark.createDataFrame(rows, "guard int, node int, parent int, op string, kind string, var string, cmp string, value int"))
-    assert {tuple(r) for r in T.required(levelled).collect()} == want
-    assert {tuple(r) for r in T.mentioned(levelled).collect()} == mentioned
-    assert T.must_hold(levelled).count() > 0 and T.contradictory(levelled).count() >= 0
-
-
-def test_blocked_truth_table(spark):
-    rows = [([], [30], False), ([[]], [30], False), ([["30"]], ["30"], True), ([["30"], ["31"]], ["31"], False), ([["30"], ["31"]], ["30", "31"], True), ([["30", "31"]], ["31"], True), (None, ["1"], False)]
-    df = spark.createDataFrame([(None if a is None else [[str(x) for x in y] for y in a], [str(x) for x in b], w) for a, b, w in rows], "alts array<array<string>>, banned array<string>, want boolean")
-    assert all(r["got"] == r["want"] for r in df.withColumn("got", G.blocked(F.col("alts"), F.col("banned"))).collect())
-    three = spark.createDataFrame([([True, None],), ([False, None],), ([None],), ([],)], "v array<boolean>")
-    assert [(r["a"], r["o"]) for r in three.select(G.all_of(F.col("v")).alias("a"), G.any_of(F.col("v")).alias("o")).collect()] == [(True, True), (False, True), (True, True), (True, False)]
-
-
 def test_cues_are_carried_and_chains_collapse(spark):
     rows = [("m", 0, 0, "ADVANCE", None, 3, 1, 0), ("m", 1, 0, "PARK", None, 0, 0, 0), ("m", 2, 0, "PARK", None, 0, 0, 0), ("m", 3, 0, "PARK", None, 0, 1, 0), ("m", 4, 0, "EXIT", None, 0, 1, 0), ("n", 0, 0, "ADVANCE", None, 1, 1, 0), ("n", 1, 0, "PARK", None, 0, 0, 0)]
     steps = spark.createDataFrame(rows, "machine string, state long, path long, trans string, target long, cues long, effects long, guards long")
