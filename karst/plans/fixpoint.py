@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,14 @@ def discard_written(spark: SparkSession) -> int:
 def walks(seeds: DataFrame, arcs: DataFrame, arcs_sent: int = ARCS_SENT) -> DataFrame:
     """walk, node for every state that each walk reaches, its seeds included.
 
-    seeds: walk long, node long, ban string (null: none). arcs: src long, dst long, alt string (null: free): a walk may not take
-    an arc whose alt is its ban. Rows with a null walk or node, and arcs with a null end, are ignored; repeated rows count once.
+    seeds: walk long, node long, ban string (null: none). arcs: src long, dst long, and alt string (null: free) or bars array<string> (null or
+    empty: free): a walk may not take an arc whose alt is its ban or whose bars have it. Rows with a null walk or node, and arcs with
+    a null end, are ignored; repeated rows count once.
     """
     seeds = seeds.select(F.col("walk").cast("long"), F.col("node").cast("long"), F.col("ban").cast("string")).where("walk is not null and node is not null").distinct()
-    arcs = arcs.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("alt").cast("string")).where("src is not null and dst is not null and src <> dst").distinct()
+    none = F.array().cast("array<string>")
+    bars = F.coalesce("bars", none) if "bars" in arcs.columns else F.when(F.col("alt").isNull(), none).otherwise(F.array(F.col("alt").cast("string")))
+    arcs = arcs.select(F.col("src").cast("long"), F.col("dst").cast("long"), bars.alias("bars")).where("src is not null and dst is not null and src <> dst").distinct()
     if arcs.limit(arcs_sent + 1).count() <= arcs_sent:
         return _sent(seeds, arcs)
     return _joined(seeds, written(arcs))
@@ -69,16 +73,23 @@ def _sent(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     table = arcs.toArrow()  # at most ARCS_SENT rows
     ends, inverse = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]), return_inverse=True)
     src, dst = inverse[: len(table)], inverse[len(table) :]
-    names = {x: k for k, x in enumerate(sorted({a for a in table["alt"].to_pylist() if a is not None}))}
-    alt = np.array([-1 if a is None else names[a] for a in table["alt"].to_pylist()], np.int32)
     order = np.argsort(src, kind="stable")
-    sent = spark.sparkContext.broadcast((ends, np.searchsorted(src[order], np.arange(len(ends) + 1)), dst[order], alt[order], names))
+    lists = table["bars"].combine_chunks().take(pa.array(order))
+    flat = pc.dictionary_encode(lists.flatten())
+    own = np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    by = np.argsort(codes, kind="stable")
+    names = {x: k for k, x in enumerate(flat.dictionary.to_pylist())}
+    closed = own[by], np.searchsorted(codes[by], np.arange(len(names) + 1))
+    sent = spark.sparkContext.broadcast((ends, np.searchsorted(src[order], np.arange(len(ends) + 1)), dst[order], names, closed))
 
     def follow(batches):
-        ends, begin, dst, alt, names = sent.value
+        ends, begin, dst, names, (closed, cuts) = sent.value
+        open_ = np.ones(len(dst), bool)
         for b in batches:
             for walk, ban, nodes in zip(b.column("walk").to_pylist(), b.column("ban").to_pylist(), b.column("nodes").to_pylist(), strict=True):
-                banned = names.get(ban, -2)
+                shut = closed[cuts[names[ban]] : cuts[names[ban] + 1]] if ban in names else closed[:0]
+                open_[shut] = False
                 nodes = np.array(nodes, np.int64)
                 at = np.searchsorted(ends, nodes)
                 known = (at < len(ends)) & (ends[np.minimum(at, max(len(ends) - 1, 0))] == nodes) if len(ends) else np.zeros(len(nodes), bool)
@@ -88,9 +99,10 @@ def _sent(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
                 while len(front):
                     many = begin[front + 1] - begin[front]
                     arcs = np.repeat(begin[front] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                    reached = np.unique(dst[arcs[alt[arcs] != banned]])
+                    reached = np.unique(dst[arcs[open_[arcs]]])
                     front = reached[~seen[reached]]
                     seen[front] = True
+                open_[shut] = True
                 found = np.concatenate([ends[seen], nodes[~known]])
                 yield pa.RecordBatch.from_pydict({"walk": np.full(len(found), walk, np.int64), "node": found})
 
@@ -102,7 +114,7 @@ def _joined(seeds: DataFrame, arcs: DataFrame) -> DataFrame:
     front = written(seeds)
     every = [front]
     for _ in range(MOST_ROUNDS):
-        step = front.join(arcs, front["node"] == arcs["src"]).where("ban is null or alt is null or alt <> ban").select("walk", F.col("dst").alias("node"), "ban").distinct()
+        step = front.join(arcs, front["node"] == arcs["src"]).where("ban is null or not array_contains(bars, ban)").select("walk", F.col("dst").alias("node"), "ban").distinct()
         for done in every:
             step = step.join(done, (step["walk"] == done["walk"]) & (step["node"] == done["node"]) & step["ban"].eqNullSafe(done["ban"]), "left_anti")
         front = written(step)

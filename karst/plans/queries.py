@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import guards
 from karst.operators import detect, gated, graph, idioms, product
-from karst.plans import guard_queries, idiom_queries  # noqa: F401
+from karst.plans import guard_queries, idiom_queries, world_queries  # noqa: F401
 from karst.plans.fixpoint import written
 from karst.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from karst.sources import star
@@ -199,12 +199,6 @@ def disjunctive_groups(spark, d):
     return detect.disjunctive_groups(star.offers(spark, d)).select("site", F.array_join("members", ",").alias("members"))
 
 
-@_query("SELECT change, src, dst, item FROM (SELECT 'gone' change, src, dst, item FROM demand WHERE 1 = 0 UNION ALL SELECT 'new', src, dst, min(coalesce(alt, g)) FROM way JOIN (SELECT src, dst, min(item) g FROM strand GROUP BY 1, 2) USING (src, dst) WHERE (src, dst) NOT IN (SELECT (src, dst) FROM demand) GROUP BY src, dst HAVING min(coalesce(alt, g)) = max(coalesce(alt, g)))")
-def guard_verification(spark, d):
-    ways = written(star.ways(spark, d))
-    return detect.difference(detect.edge_demands(ways), detect.edge_demands(detect.with_guards(ways, edge_strandings_flat(spark, d)))).select("change", "src", "dst", "item")
-
-
 @_query("SELECT user_id, event_type, first(event_id ORDER BY ts, event_id) AS \"first\", last(event_id ORDER BY ts, event_id) AS \"last\", count(*) length FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) run FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END n FROM events)) GROUP BY user_id, run, event_type", model=False)
 def chain_islands(spark, d):
     return idioms.runs(star.table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], "event_type")

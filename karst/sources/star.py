@@ -113,3 +113,47 @@ def guard_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.pmod(F.xxhash64("flag", "kind", "var", "cmp", "value"), F.lit(1 << 48)) + 10
     leaf = atoms.select(*node(at, F.when((flag == "R") & ~alone, 4).otherwise(place), F.lit("ATOM")), "kind", "var", "cmp", "value")
     return root.unionAll(group).unionAll(inner).unionAll(leaf)
+
+
+def world_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, req_flag, set_flag, req_status, set_status, alts: the ways of an edge; dearer ones ask for an item, or for one of two."""
+    items = table(spark, sf_dir, "lineitem")
+    a = items.where((F.col("l_quantity") == 50) & (F.col("l_discount") >= 0.075))
+    a = a.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("pa"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_tax").alias("tax"))
+    b = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("dst"), F.col("l_partkey").alias("pb"), F.col("l_returnflag").alias("flag_to"), F.col("l_linestatus").alias("status_to"))
+    part = table(spark, sf_dir, "part")
+    of = lambda key, name: part.select(F.col("p_partkey").alias(key), F.col("p_brand").alias(name))
+    hops = a.join(b, ["k", "n"]).where("src <> dst").join(of("pa", "x"), "pa", "left").join(of("pb", "y"), "pb", "left")
+    two = F.array_sort(F.array(F.array("x"), F.array("y")))
+    alts = F.when(F.col("tax") < 0.035, F.array(F.array().cast("array<string>"))).when((F.col("tax") < 0.055) | (F.col("x") == F.col("y")), F.array(F.array("x"))).otherwise(two)
+    coded = [_coded("flag", FLAGS).alias("req_flag"), _coded("flag_to", FLAGS).alias("set_flag"), _coded("status", STATUS).alias("req_status"), _coded("status_to", STATUS).alias("set_status")]
+    return hops.select("src", "dst", *coded, alts.alias("alts")).distinct()
+
+
+def _priced(spark: SparkSession, sf_dir: str, quantity: int) -> DataFrame:
+    """Cheap line items of one quantity, with their brand and what a write there costs."""
+    items = table(spark, sf_dir, "lineitem").where((F.col("l_quantity") == quantity) & (F.col("l_discount") <= 0.005))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("item"))
+    cost = F.when(F.col("l_tax") < 0.055, F.array().cast("array<string>")).otherwise(F.array("item"))
+    return items.join(part, items["l_partkey"] == part["p_partkey"]).withColumn("cost", cost).withColumn("room", F.col("l_suppkey")).withColumn("value", _coded("l_returnflag", FLAGS))
+
+
+def world_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """register, room, value, cost"""
+    return _priced(spark, sf_dir, 5).where("value is not null").select(F.lit("flag").alias("register"), "room", "value", "cost").distinct()
+
+
+def world_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """register, room, frm, to, cost"""
+    found = _priced(spark, sf_dir, 6).withColumn("to", _coded("l_linestatus", STATUS)).where("value <> to")
+    return found.select(F.lit("flag").alias("register"), "room", F.col("value").alias("frm"), "to", "cost").distinct()
+
+
+def world_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, room that hands it over unasked"""
+    return _priced(spark, sf_dir, 9).select("item", "room").distinct()
+
+
+def world_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """register, room, value that arrival forces"""
+    return _priced(spark, sf_dir, 10).where("value is not null").groupBy("room").agg(F.max("value").alias("value")).select(F.lit("flag").alias("register"), "room", "value")
