@@ -33,7 +33,7 @@ from .common import gathered, large, mix, pack, pack_sorted, release, scalar, se
 
 #: Hashes of the end of a text and of the place before its first word; no word can be either, as words hash their own bytes.
 END, START = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (b"\x00 end", b"\x00 start"))
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CHARS_A_BUCKET = 12 << 20
 #: Bits of a longer n-gram's key beyond those that number all tokens; tokens of a lane of a traversal.
 SPARE, LANE = 22, 256
@@ -82,7 +82,7 @@ def grams(words: np.ndarray, codes: np.ndarray, lengths: np.ndarray, order: int,
             keys = mix(before, h)
         good = at >= n - 2
         unique, inverse = np.unique(keys[good] >> np.uint64(64 - bits) if n > 1 else keys[good], return_inverse=True)
-        place = np.full(len(h), -1, np.int64)
+        place = np.full(len(h), -1, np.int32)
         place[good] = inverse
         yield n, unique, place
 
@@ -162,10 +162,10 @@ class Automaton:
         order = len(places)
         base = np.cumsum([2, *map(len, counts)])
         first = np.cumsum(lengths) - lengths
-        self.order, self.at = order, [np.where(p >= 0, p + b, -1) for p, b in zip(places, base, strict=False)]
+        self.order, self.at = order, [np.where(p >= 0, p + b, -1).astype(np.int32) for p, b in zip(places, base, strict=False)]
         many = int(base[-1])
         self.count = np.concatenate([[max(total, 1), texts], *counts]).astype(np.float64)
-        history, suffix = np.zeros(many, np.int64), np.zeros(many, np.int64)
+        history, suffix = np.zeros(many, np.int32), np.zeros(many, np.int32)
         for n in range(2, order + 1):
             own = np.flatnonzero(places[n - 1] >= 0)
             gram = self.at[n - 1][own]
@@ -178,13 +178,14 @@ class Automaton:
             p[a:z] = np.where(c > 0, (self.count[a:z] + kappa * p[suffix[a:z]]) / (c + kappa), p[suffix[a:z]])
         self.weight = np.log10(p)
         self.backoff = np.log10(kappa / (self.count + kappa))
-        self.fail, self.target = suffix, np.arange(many)
+        del p, history
+        self.fail, self.target = suffix, np.arange(many, dtype=np.int32)
         self.target[base[order - 1] :] = suffix[base[order - 1] :]
         if order == 1:
             self.target[:] = 0
         self.target[self.count == 0] = 0  # a word that training never saw leads to the root
         self.start = 1 if order > 1 and texts else 0
-        self.level = np.repeat(np.arange(order + 2) - 1, [1, 1, *map(len, counts)])
+        self.level = np.repeat(np.arange(order + 2, dtype=np.int8) - 1, [1, 1, *map(len, counts)])
         self.level[:2] = 0, 1
 
     def traverse(self, lengths: np.ndarray) -> np.ndarray:
@@ -241,6 +242,7 @@ def _scored(order: int, total: int, kinds: int, texts: int, kappa: float, width:
                 raise ValueError("a bucket did not answer")
             counts.append(c.astype(np.int64))
             places.append(place)
+        del codes, got, replies
         machine = Automaton(places, counts, lengths, texts, total, kinds, kappa)
         doc = np.repeat(np.arange(len(lengths)), lengths)
         add = lambda x: np.bincount(doc, weights=x, minlength=len(lengths))
