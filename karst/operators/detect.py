@@ -77,16 +77,3 @@ def tolls(pockets: DataFrame, ways: DataFrame, needs: DataFrame, sources: DataFr
     asked = inside.join(needs, "room").select("src", "dst", "toll", "item").distinct()
     there = pockets.join(sources, "room").select("src", "dst", "item").distinct()
     return asked.join(there, ["src", "dst", "item"], "left_anti").where("item <> toll").join(sources.select("item"), "item", "left_semi").select("src", "dst", "toll", "item")
-
-
-def with_guards(ways: DataFrame, specs: DataFrame) -> DataFrame:
-    """ways after the guards of specs (src, dst, item): a free way of a guarded edge now costs the item; other ways are as before."""
-    first = specs.groupBy("src", "dst").agg(F.min("item").alias("_item"))
-    found = ways.join(first, ["src", "dst"], "left")
-    return found.withColumn("alt", F.coalesce("alt", "_item")).drop("_item").distinct()
-
-
-def difference(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows with change 'gone' or 'new': what a change of the model did to a list of findings."""
-    keys = before.columns
-    return before.exceptAll(after).withColumn("change", F.lit("gone")).unionAll(after.select(*keys).exceptAll(before).withColumn("change", F.lit("new")))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from karst.operators.product import VALUES, state_arcs, states
+from karst.operators.product import many, state_arcs, states
 from karst.plans.fixpoint import walks, written
 
 
@@ -24,39 +24,41 @@ def reach_without(start: DataFrame, projections: list[DataFrame], items: DataFra
 
 def reobtainable(start: DataFrame, projections: list[DataFrame], sources: DataFrame) -> DataFrame:
     """item, room: in every projection some state of the room, itself reached, leads to a source without spending the item."""
-    named = written(sources.select("item").distinct().withColumn("walk", F.xxhash64("item")))
+    named = written(sources.select("item").distinct().withColumn("walk", F.row_number().over(Window.orderBy("item"))))
     parts = []
     for ways in projections:
-        arcs = state_arcs(ways)
+        n = many(ways)
+        arcs = state_arcs(ways, n)
         back = arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "alt")
-        live = states(start, ways).select((F.col("room") * VALUES + F.col("value")).alias("node"))
-        seeds = sources.join(named, "item").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(VALUES - 1))))
-        seeds = seeds.select("walk", (F.col("room") * VALUES + F.col("v")).alias("node"), F.col("item").alias("ban"))
+        live = states(start, ways).select((F.col("room") * n + F.col("value")).alias("node"))
+        seeds = sources.join(named, "item").withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        seeds = seeds.select("walk", (F.col("room") * n + F.col("v")).alias("node"), F.col("item").alias("ban"))
         seeds = seeds.join(live, "node", "left_semi")
         inside = back.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(live.withColumnRenamed("node", "dst"), "dst", "left_semi")
         found = walks(seeds, inside.select("src", "dst", "alt")).join(named, "walk")
-        parts.append(found.select("item", F.floor(F.col("node") / VALUES).alias("room")).distinct())
+        parts.append(found.select("item", F.floor(F.col("node") / n).alias("room")).distinct())
     return _both(parts, ["item", "room"])
 
 
 def flips(start: DataFrame, ways: DataFrame) -> DataFrame:
     """value, node: the states into which some reached state of another value comes by setting the register."""
+    n = many(ways)
     live = states(start, ways).select(F.col("room").alias("src"), F.col("value").alias("v"))
     found = ways.join(live, "src").where("(req is null or req = v) and setv is not null and setv <> v")
-    return found.select(F.col("setv").alias("value"), (F.col("dst") * VALUES + F.col("setv")).alias("node")).distinct()
+    return found.select(F.col("setv").alias("value"), (F.col("dst") * n + F.col("setv")).alias("node")).distinct()
 
 
 def register_strandings(start: DataFrame, ways: DataFrame, sources: DataFrame, needs: DataFrame) -> DataFrame:
     """value, room, item: a flip of the register in room after which the item is asked for, and no source is left."""
-    seeds = flips(start, ways).withColumn("walk", F.xxhash64("value", "node"))
-    seeds = written(seeds)
-    after = walks(seeds.select("walk", "node", F.lit(None).cast("string").alias("ban")), state_arcs(ways))
-    rooms = written(after.select("walk", F.floor(F.col("node") / VALUES).alias("room")).distinct())
+    n = many(ways)
+    seeds = written(flips(start, ways).withColumn("walk", F.col("node")))  # a flip's value is that of its state
+    after = walks(seeds.select("walk", "node", F.lit(None).cast("string").alias("ban")), state_arcs(ways, n))
+    rooms = written(after.select("walk", F.floor(F.col("node") / n).alias("room")).distinct())
     asked = rooms.join(needs, "room").select("walk", "item").distinct()
     had = rooms.join(sources, "room").select("walk", "item").distinct()
     there = sources.join(states(start, ways).select("room").distinct(), "room").select("item").distinct()
     gone = asked.join(had, ["walk", "item"], "left_anti").join(there, "item", "left_semi")
-    return gone.join(seeds, "walk").select("value", F.floor(F.col("node") / VALUES).alias("room"), "item").distinct()
+    return gone.join(seeds, "walk").select("value", F.floor(F.col("node") / n).alias("room"), "item").distinct()
 
 
 def dangerous_sinks(drops: DataFrame, needs: DataFrame, reobtainable: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.plans.fixpoint import walks, written
@@ -62,15 +62,13 @@ def widest(pairs: DataFrame) -> DataFrame:
 
 
 def pockets(start: DataFrame, arcs: DataFrame) -> DataFrame:
-    """src, dst, room: rooms that the start reaches only over that arc. One walk for each arc on the way, all together."""
-    arcs = written(arcs.select("src", "dst"))
+    """src, dst, room: rooms that the starts reach only over that arc. One walk from all starts for each arc on the way, all together."""
+    arcs = written(arcs.select("src", "dst").distinct())
     full = written(reach(start, arcs))
     inside = arcs.join(full.withColumnRenamed("room", "src"), "src", "left_semi")
     # each arc is an item of its own, which the walk of its cut may not take
-    name = F.concat_ws(">", "src", "dst")
-    cuts = inside.withColumn("alt", name)
-    cuts = written(cuts.withColumn("walk", F.xxhash64("src", "dst")))
-    seeds = cuts.crossJoin(F.broadcast(start.select("room").limit(1))).select("walk", F.col("room").alias("node"), F.col("alt").alias("ban"))
+    cuts = written(inside.withColumn("alt", F.concat_ws(">", "src", "dst")).withColumn("walk", F.row_number().over(Window.orderBy("src", "dst"))))
+    seeds = cuts.crossJoin(F.broadcast(start.select("room").distinct())).select("walk", F.col("room").alias("node"), F.col("alt").alias("ban"))
     left = walks(seeds, cuts.select("src", "dst", "alt"))
     every = cuts.select("walk", "src", "dst").crossJoin(full)
     return every.join(left.withColumnRenamed("node", "room"), ["walk", "room"], "left_anti").select("src", "dst", "room")

@@ -1,6 +1,6 @@
 """State machines as tables of steps: carried cues, collapsed chains, what every route to a state needs.
 
-step: machine, state, path, trans (PARK, ADVANCE, JUMP, EXIT, DEATH), target, cues, effects (number), guards (number).
+step: machine, state, path, trans (PARK, ADVANCE, JUMP, SETSTATE, EXIT, DEATH; a SETSTATE lands one state after its target), target, cues, effects (number), guards (number).
 """
 
 from __future__ import annotations
@@ -33,28 +33,32 @@ def carried(steps: DataFrame) -> DataFrame:
     return found.withColumn("trans", F.when(F.col("_hit") & (F.col("trans") == "PARK"), F.lit("ADVANCE")).otherwise(F.col("trans"))).drop("_hit")
 
 
-def compressed(steps: DataFrame, entries: DataFrame) -> DataFrame:
+def _landing() -> Column:
+    """The state in which a step lands; null if it stays or leaves."""
+    return F.when(F.col("trans") == "ADVANCE", F.col("state") + 1).when(F.col("trans") == "JUMP", F.col("target")).when(F.col("trans") == "SETSTATE", F.col("target") + 1)
+
+
+def compressed(steps: DataFrame, entries: DataFrame, start: int = 0) -> DataFrame:
     """Steps with every landing in a run of states that change nothing moved to the first state after the run.
 
-    A state can be skipped if its only step advances, asks nothing, changes nothing, and it is no entry (entries: machine, state).
+    A state can be skipped if its only step advances, asks nothing, changes nothing, and it is neither the start nor an entry
+    (entries: machine, state).
     Runs are gaps and islands of consecutive states; no loop is needed.
     """
     only = steps.groupBy("machine", "state").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("trans", "guards", "effects")).alias("s"))
-    clear = only.where("n = 1 and s.trans = 'ADVANCE' and s.guards = 0 and s.effects = 0").join(entries, ["machine", "state"], "left_anti").select("machine", "state")
+    clear = only.where("n = 1 and s.trans = 'ADVANCE' and s.guards = 0 and s.effects = 0").where(F.col("state") != start).join(entries, ["machine", "state"], "left_anti").select("machine", "state")
     island = F.col("state") - F.row_number().over(Window.partitionBy("machine").orderBy("state"))
     runs = clear.withColumn("_run", island)
     last = F.max("state").over(Window.partitionBy("machine", "_run"))
     after = runs.select("machine", F.col("state").alias("landing"), (last + 1).alias("beyond"))
-    landing = F.when(F.col("trans") == "ADVANCE", F.col("state") + 1).when(F.col("trans") == "JUMP", F.col("target"))
-    found = steps.withColumn("landing", landing).join(after, ["machine", "landing"], "left")
+    found = steps.withColumn("landing", _landing()).join(after, ["machine", "landing"], "left")
     moved = F.col("beyond").isNotNull()
     return found.withColumn("trans", F.when(moved, F.lit("JUMP")).otherwise(F.col("trans"))).withColumn("target", F.when(moved, F.col("beyond")).otherwise(F.col("target"))).drop("landing", "beyond")
 
 
 def arcs(steps: DataFrame) -> DataFrame:
     """machine, state, next: where each step lands."""
-    landing = F.when(F.col("trans") == "ADVANCE", F.col("state") + 1).when(F.col("trans") == "JUMP", F.col("target"))
-    return steps.select("machine", "state", landing.alias("next")).where("next is not null").distinct()
+    return steps.select("machine", "state", _landing().alias("next")).where("next is not null").distinct()
 
 
 def needed_by_all(steps: DataFrame, entries: DataFrame) -> DataFrame:
