@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import staged
+from karst.llm.common import collected, staged
 from karst.llm.decontamination import without_contaminated
 from karst.llm.line_dedup import line_dedup
 from karst.llm.ngram_join import one_of_each
@@ -32,17 +32,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts."""
+    """One document of each class of similar texts, that with the smallest doc_id; texts without words and null texts all stay.
+
+    What the stages before have shuffled is let go of first: this stage writes most.
+    """
+    collected(spark)
     return one_of_each(docs).select(*docs.columns)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
+    """Documents that hold no passage of the benchmark; null and empty texts hold none. Repeated rows are judged alike."""
     return without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 2,048 tokens."""
+    """Pieces of all documents in sequences of 2,048 tokens; null and empty texts give their separator, repeated rows are packed once each."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
