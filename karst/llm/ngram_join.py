@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_groups, mix, session_of, staged, task
+from .common import by_groups, collected, mix, session_of, staged, task
 from .components import SIMILAR, components, exact_links, find, hash_family, minhash, packed_sets, set_key, shingles
 
 SKETCH = 128
@@ -174,6 +174,7 @@ def ngram_join(docs: DataFrame, similar: float = SIMILAR, recall: float = 0.999)
     named = known.where("node is not null")
     heads = named.groupBy("node").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("copies"))
     candidates = components(staged(candidate_edges(named, similar, levels)))
+    collected(docs.sparkSession)  # the search's shuffle files go before texts are read again
     # texts of members: one document of each candidate set, found again by its id and told apart by its set's name
     of = candidates.join(heads, "node").select("node", F.col("root").alias("candidate"), F.col("head").alias("_head"))
     members = docs.join(of, docs["doc_id"].eqNullSafe(of["_head"])).select("text", "node", "candidate").mapInArrow(task(_members), "node binary, candidate binary, tokens binary")
