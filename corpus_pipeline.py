@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karst.llm.common import collected, staged
+from karst.llm.common import staged
 from karst.llm.decontamination import without_contaminated
 from karst.llm.line_dedup import line_dedup
 from karst.llm.ngram_join import one_of_each
@@ -32,11 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of similar texts, that with the smallest doc_id; texts without words and null texts all stay.
-
-    What the stages before have shuffled is let go of first: this stage writes most.
-    """
-    collected(spark)
+    """One document of each class of similar texts, that with the smallest doc_id; texts without words and null texts all stay."""
     return one_of_each(docs).select(*docs.columns)
 
 
