@@ -157,3 +157,24 @@ def world_grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def world_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """register, room, value that arrival forces"""
     return _priced(spark, sf_dir, 10).where("value is not null").groupBy("room").agg(F.max("value").alias("value")).select(F.lit("flag").alias("register"), "room", "value")
+
+
+def part_writes(spark: SparkSession, sf_dir: str, where: str = "l_linestatus = 'F'") -> DataFrame:
+    """register, value: what the line items of a part write to it"""
+    return table(spark, sf_dir, "lineitem").where(where).select(F.col("l_partkey").alias("register"), _coded("l_returnflag", FLAGS).alias("value"))
+
+
+def part_asks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst, register, value: what the way from a line item's supplier to that of the next one in its order asks of the item's part"""
+    items = table(spark, sf_dir, "lineitem")
+    a = items.select(F.col("l_orderkey").alias("k"), (F.col("l_linenumber") + 1).alias("n"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("register"), _coded("l_returnflag", FLAGS).alias("value"))
+    b = items.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_suppkey").alias("dst"))
+    return a.where("value is not null").join(b, ["k", "n"]).where("src <> dst").select("src", "dst", "register", "value")
+
+
+def property_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, property, room, kind (inc: it counts up; set), value"""
+    items = table(spark, sf_dir, "lineitem").where("l_quantity = 7")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("item"))
+    kind = F.when(F.col("l_returnflag") == "N", "inc").otherwise("set").alias("kind")
+    return items.join(part, items["l_partkey"] == part["p_partkey"]).select("item", (F.col("l_suppkey") % 2).alias("property"), F.col("l_suppkey").alias("room"), kind, _coded("l_returnflag", FLAGS).alias("value")).distinct()
