@@ -137,8 +137,9 @@ def candidate_edges(sets: DataFrame, similar: float, levels: int) -> DataFrame:
     expected = similar + (1 - similar) / 256
     least = int(SKETCH * (expected - 3.3 * (expected * (1 - expected) / SKETCH) ** 0.5))
     buckets = None
-    first = sets.select("node", F.col("path")[0].alias("paths")).dropDuplicates(["node"])  # copies go while a set is still one row
-    rows = first.select("node", F.posexplode("paths").alias("place", "bucket"))
+    # copies go while a set is still one row; their paths are equal, and a least one, unlike a first one, lets Spark reuse the shuffle
+    single = sets.groupBy("node").agg(F.min(F.col("path")[0]).alias("paths"))
+    rows = single.select("node", F.posexplode("paths").alias("place", "bucket"))
     for level in range(levels):
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         found = rows.join(sizes, "bucket")
