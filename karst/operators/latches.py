@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karst.operators.world import BEFORE
 from karst.plans.fixpoint import walks, written
 
 
@@ -35,8 +36,10 @@ def flip_seals(start: DataFrame, edges: DataFrame, traps: DataFrame, asks: DataF
     of = doors.groupBy("register", "safe", "trap").agg(F.count(F.lit(1)).alias("doors"))
     of = written(of.withColumn("walk", F.monotonically_increasing_id()))
     arcs = edges.select("src", "dst").distinct().join(doors.groupBy("src", "dst").agg(F.collect_set("trap").alias("bars")), ["src", "dst"], "left")
-    seeds = of.crossJoin(F.broadcast(start.limit(1))).select("walk", F.col("room").cast("long").alias("node"), F.col("trap").alias("ban"))  # a start is one room
-    open_ = written(walks(seeds, arcs).select("walk", F.col("node").alias("room")))
+    none = F.array().cast("array<string>")
+    arcs = arcs.unionAll(start.select(F.lit(BEFORE).alias("src"), F.col("room").alias("dst"), none.alias("bars")))
+    seeds = of.select("walk", F.lit(BEFORE).alias("node"), F.col("trap").alias("ban"))
+    open_ = written(walks(seeds, arcs).where(F.col("node") != BEFORE).select("walk", F.col("node").alias("room")))
     wanted = sources.join(needs.select("item").distinct(), "item", "left_semi").select("item", "room").distinct()
     free = open_.join(wanted, "room").select("walk", "item").distinct()
     every = wanted.select("item").distinct().crossJoin(of)  # Spark sends the traps only where they are small

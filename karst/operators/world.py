@@ -21,6 +21,8 @@ from karst.functions import guards
 from karst.plans.fixpoint import walks, written
 
 FREE = "array(cast(array() as array<string>))"
+#: A state before all starts: a walk that sets out there sets out from every start.
+BEFORE = -(1 << 62)
 
 
 def opened(alts: Column | str = "alts") -> Column:
@@ -47,7 +49,11 @@ def blocked_units(rows: DataFrame, units: DataFrame, key: str = "way") -> DataFr
 
 @dataclass(frozen=True)
 class World:
-    """Relations of a world; see the module. start: room; goals: room (may be empty); grants: item, room that hands it over unasked."""
+    """Relations of a world; see the module. start: room (one or several); goals: room (may be empty); grants: item, room that hands it over unasked.
+
+    drops: item, room that takes it away. slots: room, items, of which that room trades one for another, so that at most one is held. sites: item,
+    room, site, register, values: what a place of need asks of a register (one row for each register; a null register: nothing).
+    """
 
     ways: DataFrame
     writes: DataFrame
@@ -58,6 +64,9 @@ class World:
     goals: DataFrame
     grants: DataFrame
     projections: tuple[tuple[str, ...], ...]
+    drops: DataFrame | None = None
+    slots: DataFrame | None = None
+    sites: DataFrame | None = None
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -110,14 +119,14 @@ class World:
             out.append(every(step, F.col("_f"), F.col("_t")))
         return reduce(DataFrame.unionAll, out).where("src <> dst").distinct()
 
-    def _states(self, df: DataFrame, parts: list[tuple[str, Column, Column]]) -> DataFrame:
+    def _states(self, df: DataFrame, parts: list[tuple[str, Column, Column]], *more: str) -> DataFrame:
         """Rows for every state that a row starts from: parts give for each register the place asked for and the place left (null: any, as before)."""
         src, dst = F.col("room").cast("long"), F.col("to").cast("long")
         for r, asked, left in parts:
             n = self._domains[r][1]
             df = df.withColumn(f"_l_{r}", left.cast("long")).withColumn(f"_at_{r}", F.explode(F.when(asked.isNull(), F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.array(asked.cast("long")))))
             src, dst = src * n + F.col(f"_at_{r}"), dst * n + F.coalesce(f"_l_{r}", f"_at_{r}")
-        return df.select(src.alias("src"), dst.alias("dst"), "room", "to", "alts")
+        return df.select(src.alias("src"), dst.alias("dst"), "room", "to", "alts", *more)
 
     def _at_start(self, projection: tuple[str, ...]) -> DataFrame:
         node = F.col("room").cast("long")
@@ -125,6 +134,11 @@ class World:
             node = node * self._domains[r][1] + self._start_places[r]
         return self.start.select(node.alias("node"))
 
+    def _from_start(self, projection: tuple[str, ...], arcs: DataFrame) -> DataFrame:
+        """Arcs (src, dst, bars) with free ones from BEFORE to every start."""
+        first = self._at_start(projection).select(F.lit(BEFORE).cast("long").alias("src"), F.col("node").alias("dst"), F.array().cast("array<string>").alias("bars"))
+        return arcs.select("src", "dst", F.col("bars").cast("array<string>").alias("bars")).unionAll(first)
+
     def room(self, projection: tuple[str, ...], node: str = "node") -> Column:
         return F.floor(F.col(node) / self.size(projection)).cast("long").alias("room")
 
@@ -168,8 +182,8 @@ class World:
         """unit, room: reached in every projection without anything of the unit, not going on from where it is handed over unasked."""
         named, parts = written(numbered(units, "unit")), []
         for p in self.projections:
-            seeds = named.crossJoin(F.broadcast(self._at_start(p).limit(1))).select(F.col("place").alias("walk"), "node", F.col("unit").alias("ban"))  # a start is one room
-            found = walks(seeds, self._barred(p, units, True)).join(named.withColumnRenamed("place", "walk"), "walk")
+            seeds = named.select(F.col("place").alias("walk"), F.lit(BEFORE).alias("node"), F.col("unit").alias("ban"))
+            found = walks(seeds, self._from_start(p, self._barred(p, units, True))).where(F.col("node") != BEFORE).join(named.withColumnRenamed("place", "walk"), "walk")
             parts.append(found.select("unit", self.room(p)).distinct())
         return self._in_all(parts, ["unit", "room"])
 
@@ -199,13 +213,93 @@ class World:
         return found.unionAll(none.select("after", F.col("after").alias("room")))
 
     def reach_avoiding(self, rooms: DataFrame) -> DataFrame:
-        """avoided, room: rooms reached from the start in every projection without ever entering the avoided room. rooms: avoided."""
-        parts = []
+        """avoided, room: rooms reached from the starts in every projection without ever entering the avoided room; to set out there is not to enter. rooms: avoided."""
+        found = self.reach_avoiding_sets(rooms.select(F.col("avoided").cast("long").cast("string").alias("key"), F.col("avoided").alias("room")))
+        return found.select(F.col("key").cast("long").alias("avoided"), "room")
+
+    def reach_avoiding_sets(self, sets: DataFrame) -> DataFrame:
+        """key, room: rooms reached from the starts in every projection without ever entering a room of a set. sets: key (string), room."""
+        shut = written(sets.groupBy(F.col("room").alias("to")).agg(F.collect_set("key").alias("bars")))
+        named, parts = numbered(sets, "key"), []
         for p in self.projections:
-            seeds = rooms.select("avoided").distinct().crossJoin(F.broadcast(self._at_start(p).limit(1))).select(F.col("avoided").alias("walk"), "node", F.col("avoided").cast("string").alias("ban"))
-            arcs = self._moves[p].select("src", "dst", F.when(F.col("room") != F.col("to"), F.array(F.col("to").cast("string"))).alias("bars"))
-            parts.append(walks(seeds, arcs).select(F.col("walk").alias("avoided"), self.room(p)).distinct())
-        return self._in_all(parts, ["avoided", "room"])
+            seeds = named.select(F.col("place").alias("walk"), F.lit(BEFORE).alias("node"), F.col("key").alias("ban"))
+            arcs = self._moves[p].join(shut, "to", "left").select("src", "dst", F.when(F.col("room") != F.col("to"), F.col("bars")).alias("bars"))
+            found = walks(seeds, self._from_start(p, arcs)).where(F.col("node") != BEFORE).join(named.withColumnRenamed("place", "walk"), "walk")
+            parts.append(found.select("key", self.room(p)).distinct())
+        return self._in_all(parts, ["key", "room"])
+
+    def unholdable(self, rows: DataFrame) -> DataFrame:
+        """src, dst, item, why: of the rows (src, dst, item), what nobody can be holding at a crossing, given what the crossing asks for.
+
+        cost: every source of the item lies behind rooms that take away something the crossing asks for (but for its end, which takes it only
+        afterwards, and rooms that hand it out again). trade: the crossing asks for another item of the same slot.
+        """
+        rows, out = rows.select("src", "dst", "item").distinct(), []
+        if self.drops is not None:
+            losing = self.drops.select("item", "room").distinct().join(self.sources.select("item", "room"), ["item", "room"], "left_anti")
+            prune = self.demands.join(losing, "item").where(F.col("room") != F.col("dst")).select("src", "dst", "room").distinct()
+            prune = written(prune.join(rows.select("src", "dst").distinct(), ["src", "dst"], "left_semi").withColumn("key", F.concat_ws(">", "src", "dst")))
+            had = self.reach_avoiding_sets(prune).join(self.sources, "room").select("key", "item").distinct()
+            lost = rows.join(prune.select("src", "dst", "key").distinct(), ["src", "dst"]).join(had, ["key", "item"], "left_anti")
+            out.append(lost.select("src", "dst", "item", F.lit("cost").alias("why")))
+        if self.slots is not None:
+            held = self.demands.join(self.slots.select("items", F.explode("items").alias("item")), "item").select("src", "dst", F.explode("items").alias("item")).distinct()
+            out.append(rows.join(held, ["src", "dst", "item"]).join(self.demands, ["src", "dst", "item"], "left_anti").select("src", "dst", "item", F.lit("trade").alias("why")))
+        out.append(rows.select("src", "dst", "item", F.lit("").alias("why")).limit(0))
+        return reduce(DataFrame.unionAll, out).groupBy("src", "dst", "item").agg(F.min("why").alias("why"))
+
+    @cached_property
+    def _numbered_ways(self) -> DataFrame:
+        return written(self.ways.withColumn("way", F.monotonically_increasing_id()))
+
+    @cached_property
+    def crossings(self) -> dict[tuple[str, ...], DataFrame]:
+        """For each projection way, node: the states reached after a way has been taken in any reached state that it allows.
+
+        Only ways that ask for or leave something in a register of the projection have rows: others say nothing of what a crossing commits to.
+        """
+        out = {}
+        for p in self.projections:
+            touched = reduce(lambda x, y: x | y, [F.col(f"{k}_{r}").isNotNull() for r in p for k in ("req", "set")])
+            found = self._numbered_ways.where(touched).select("way", F.col("src").alias("room"), F.col("dst").alias("to"), F.lit(None).cast("array<array<string>>").alias("alts"), *(f"{k}_{r}" for r in p for k in ("req", "set")))
+            parts = []
+            for r in p:
+                found = self._placed(self._placed(found, f"req_{r}", r), f"set_{r}", r)
+                parts.append((r, F.col(f"_req_{r}"), F.col(f"_set_{r}")))
+            seeds = self._states(found, parts, "way").join(self._reached[p].withColumnRenamed("node", "src"), "src", "left_semi")
+            seeds = seeds.select(F.col("way").alias("walk"), F.col("dst").alias("node"), F.lit(None).cast("string").alias("ban"))
+            out[p] = written(walks(seeds, self._moves[p].select("src", "dst", F.lit(None).cast("array<string>").alias("bars"))).withColumnRenamed("walk", "way"))
+        return out
+
+    def _live(self, projection: tuple[str, ...]) -> DataFrame:
+        """way, item: needs that some state after a way can still come to."""
+        after = self.crossings[projection]
+        there = after.select("way", self.room(projection)).distinct()
+        if self.sites is None:
+            return there.join(self.needs, "room").select("way", "item").distinct()
+        musts = self.sites.where(F.col("register").isin(*projection))
+        bound = written(musts.select("item", "room", "site", "register", "values").distinct())
+        open_ = self.sites.select("item", "room", "site").distinct().join(bound.select("item", "room", "site"), ["item", "room", "site"], "left_anti").select("item", "room")
+        bare = self.needs.select("item", "room").distinct().join(self.sites.select("item", "room"), ["item", "room"], "left_anti")
+        free = there.join(open_.unionAll(bare).distinct(), "room").select("way", "item")
+        many = bound.groupBy("item", "room", "site").agg(F.count(F.lit(1)).alias("_all"))
+        value = F.coalesce(*(F.when(F.col("register") == r, F.col(r)) for r in projection))
+        met = self.values(after.withColumn("state", F.col("node")), projection).join(bound, "room").where(F.array_contains("values", value))
+        met = met.groupBy("way", "state", "item", "room", "site").agg(F.count(F.lit(1)).alias("_n")).join(many, ["item", "room", "site"]).where("_n = _all")
+        return free.unionAll(met.select("way", "item")).distinct()
+
+    def retired(self, rows: DataFrame) -> DataFrame:
+        """src, dst, item: of the rows (src, dst, item), needs that a crossing ends, as what it commits to leaves no place of need within reach.
+
+        That takes evidence for every way of the crossing: a projection in which it can be taken and after which no need is live. Where a way
+        touches no register, or can't be taken in any reached state, the need stays.
+        """
+        ways = self._numbered_ways.select("way", "src", "dst")
+        asked = written(rows.select("src", "dst", "item").distinct().join(self.needs.select("item").distinct(), "item", "left_semi").join(ways, ["src", "dst"]))
+        dead = [asked.join(self.crossings[p].select("way").distinct(), "way", "left_semi").join(self._live(p), ["way", "item"], "left_anti") for p in self.projections]
+        gone = reduce(DataFrame.unionAll, dead).select("src", "dst", "item", "way").distinct().groupBy("src", "dst", "item").agg(F.count(F.lit(1)).alias("_n"))
+        every = asked.groupBy("src", "dst", "item").agg(F.count(F.lit(1)).alias("_all"))
+        return gone.join(every, ["src", "dst", "item"]).where("_n = _all").select("src", "dst", "item")
 
     def entry_frontier(self, rooms: DataFrame) -> DataFrame:
         """room, frm: crossings into a room from where it has not been entered yet. rooms: room."""
@@ -260,12 +354,9 @@ class World:
         seeds = self.start.select(F.lit(0).alias("walk"), F.col("room").alias("node"), F.lit(None).cast("string").alias("ban"))
         return written(walks(seeds, self.edges.select("src", "dst", F.lit(None).cast("array<string>").alias("bars"))).select(F.col("node").alias("room")))
 
-    def strandings(self) -> DataFrame:
-        """src, dst, unit: crossings without a free way back after which a unit that was to be had is lost and still asked for.
-
-        The crossing is reached, and a goal can still be reached after it (if there are goals); a single item that the crossing itself
-        asks for is forced, not missed.
-        """
+    @cached_property
+    def _stranded(self) -> DataFrame:
+        """src, dst, unit, why (null: a finding): crossings after which a unit is lost, with the reason for which a single item is no finding."""
         had = written(self.reobtainable(self.units))
         oneway = self.edges.join(self.reach.withColumnRenamed("room", "src"), "src", "left_semi").join(self.freely_reversible, ["src", "dst"], "left_anti")
         after = written(self.rooms_after(oneway.select(F.col("dst").alias("after")).distinct()))
@@ -274,7 +365,25 @@ class World:
         ahead = after.join(self.needed, "room").select(F.col("after").alias("dst"), "unit").distinct()
         lost = ahead.join(had.withColumnRenamed("room", "dst"), ["unit", "dst"], "left_anti")
         found = oneway.join(lost, "dst").join(had.withColumnRenamed("room", "src"), ["unit", "src"], "left_semi")
-        return found.join(self.demands.withColumnRenamed("item", "unit"), ["src", "dst", "unit"], "left_anti").select("src", "dst", "unit")
+        found = written(found.select("src", "dst", "unit"))
+        single = written(found.join(self.units.where("size(items) = 1"), "unit", "left_semi").withColumnRenamed("unit", "item"))
+        forced = single.join(self.demands, ["src", "dst", "item"], "left_semi").select("src", "dst", "item", F.lit("forced").alias("why"))
+        rest = written(single.join(forced, ["src", "dst", "item"], "left_anti"))
+        why = forced.unionAll(self.unholdable(rest).withColumn("why", F.concat(F.lit("unholdable: "), "why"))).unionAll(self.retired(rest).withColumn("why", F.lit("retired")))
+        why = why.groupBy("src", "dst", F.col("item").alias("unit")).agg(F.max("why").alias("why"))  # unholdable before retired
+        return written(found.join(why, ["src", "dst", "unit"], "left"))
+
+    def strandings(self) -> DataFrame:
+        """src, dst, unit: crossings without a free way back after which a unit that was to be had is lost and still asked for.
+
+        The crossing is reached, and a goal can still be reached after it (if there are goals). Of single items those are left out that the
+        crossing itself asks for (forced, not missed), that nobody can hold there, and whose need the crossing ends; see dropped().
+        """
+        return self._stranded.where("why is null").select("src", "dst", "unit")
+
+    def dropped(self) -> DataFrame:
+        """src, dst, unit, why (forced, unholdable: cost, unholdable: trade, retired): strandings that are no findings."""
+        return self._stranded.where("why is not null")
 
     def group_strandings(self) -> DataFrame:
         """room, unit: groups that are faced where none of their items is held and none can be had any more."""

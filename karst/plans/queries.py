@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import guards
 from karst.operators import detect, gated, graph, idioms, product
-from karst.plans import guard_queries, idiom_queries, latch_queries, world_queries  # noqa: F401
+from karst.plans import guard_queries, idiom_queries, latch_queries, machine_queries, market_queries, program_queries, world_queries  # noqa: F401
 from karst.plans.fixpoint import written
 from karst.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from karst.sources import star

@@ -34,6 +34,7 @@ need AS (SELECT DISTINCT p_brand item, l_suppkey room FROM lineitem JOIN part ON
 inr AS (SELECT DISTINCT l_suppkey room, {_CODE.format('l_returnflag')} v, {_COST} {_PRICED} 5 AND l_returnflag <> 'N'),
 stp AS (SELECT DISTINCT * FROM (SELECT l_suppkey room, {_CODE.format('l_returnflag')} frm, {_CODE.format('l_linestatus')} too, {_COST} {_PRICED} 6) WHERE frm <> too),
 gift AS (SELECT DISTINCT p_brand item, l_suppkey room {_PRICED} 9),
+dropped AS (SELECT DISTINCT p_brand item, l_suppkey room FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity = 3 AND l_discount <= 0.025),
 entry AS (SELECT l_suppkey room, max({_CODE.format('l_returnflag')}) v {_PRICED} 10 AND l_returnflag <> 'N' GROUP BY 1),
 q(v) AS (VALUES (0), (1))"""
 
@@ -69,9 +70,21 @@ many{z} AS (SELECT src, dst, count(*) whole FROM each{z} GROUP BY ALL),
 dem{z} AS (SELECT src, dst, item FROM (SELECT src, dst, unnest(list_distinct(alt)) item FROM each{z}) JOIN many{z} USING (src, dst) GROUP BY src, dst, item, whole HAVING count(*) = whole),
 faced{z} AS (SELECT DISTINCT n.item, n.room FROM need n JOIN rw{z} r ON r.unit = n.item AND r.room = n.room),
 nd{z} AS (SELECT DISTINCT unit, f.room FROM unit{z} JOIN faced{z} f ON list_contains(items, f.item) WHERE len(items) > 1 OR NOT EXISTS (SELECT 1 FROM grp{z} g WHERE g.room = f.room AND list_contains(g.items, f.item))),
-strand{z} AS (SELECT DISTINCT e.src, e.dst, u.unit FROM edge e JOIN unit{z} u ON true WHERE e.src IN (SELECT room FROM reach) AND (e.src, e.dst) NOT IN (SELECT (src, dst) FROM free{z})
+strand0{z} AS (SELECT DISTINCT e.src, e.dst, u.unit, len(u.items) = 1 single FROM edge e JOIN unit{z} u ON true WHERE e.src IN (SELECT room FROM reach) AND (e.src, e.dst) NOT IN (SELECT (src, dst) FROM free{z})
   AND EXISTS (SELECT 1 FROM aft{z} a JOIN goal g ON g.room = a.room WHERE a.b = e.dst) AND EXISTS (SELECT 1 FROM aft{z} a JOIN nd{z} n ON n.room = a.room WHERE a.b = e.dst AND n.unit = u.unit)
-  AND (u.unit, e.src) IN (SELECT (unit, room) FROM rb{z}) AND (u.unit, e.dst) NOT IN (SELECT (unit, room) FROM rb{z}) AND (e.src, e.dst, u.unit) NOT IN (SELECT (src, dst, item) FROM dem{z})),
+  AND (u.unit, e.src) IN (SELECT (unit, room) FROM rb{z}) AND (u.unit, e.dst) NOT IN (SELECT (unit, room) FROM rb{z})),
+prn{z} AS (SELECT DISTINCT d.src, d.dst, o.room FROM dem{z} d JOIN dropped o USING (item) WHERE o.room <> d.dst AND (item, o.room) NOT IN (SELECT (item, room) FROM source)),
+pne{z} AS (SELECT DISTINCT src, dst FROM prn{z}),
+pva{z}(src, dst, room, v) AS (SELECT src, dst, room, 0 FROM pne{z}, start UNION SELECT p.src, p.dst, m.dst, m.w FROM pva{z} p JOIN mva{z} m ON m.src = p.room AND m.v = p.v WHERE m.dst = m.src OR NOT EXISTS (SELECT 1 FROM prn{z} x WHERE x.src = p.src AND x.dst = p.dst AND x.room = m.dst)),
+pvb{z}(src, dst, room, v) AS (SELECT src, dst, room, 0 FROM pne{z}, start UNION SELECT p.src, p.dst, m.dst, m.w FROM pvb{z} p JOIN mvb{z} m ON m.src = p.room AND m.v = p.v WHERE m.dst = m.src OR NOT EXISTS (SELECT 1 FROM prn{z} x WHERE x.src = p.src AND x.dst = p.dst AND x.room = m.dst)),
+still{z} AS (SELECT DISTINCT a.src, a.dst, s.item FROM pva{z} a JOIN pvb{z} b ON b.src = a.src AND b.dst = a.dst AND b.room = a.room JOIN source s ON s.room = a.room),
+wyn{z} AS (SELECT *, row_number() OVER () w FROM {wy}),
+xa{z}(w, room, v) AS (SELECT y.w, y.dst, coalesce(y.setf, s.v) FROM wyn{z} y JOIN sta{z} s ON s.room = y.src AND (y.reqf IS NULL OR y.reqf = s.v) WHERE y.reqf IS NOT NULL OR y.setf IS NOT NULL UNION SELECT x.w, m.dst, m.w FROM xa{z} x JOIN mva{z} m ON m.src = x.room AND m.v = x.v),
+xb{z}(w, room, v) AS (SELECT y.w, y.dst, coalesce(y.sets, s.v) FROM wyn{z} y JOIN stb{z} s ON s.room = y.src AND (y.reqs IS NULL OR y.reqs = s.v) WHERE y.reqs IS NOT NULL OR y.sets IS NOT NULL UNION SELECT x.w, m.dst, m.w FROM xb{z} x JOIN mvb{z} m ON m.src = x.room AND m.v = x.v),
+la{z} AS (SELECT DISTINCT x.w, n.item FROM xa{z} x JOIN need n ON n.room = x.room), lb{z} AS (SELECT DISTINCT x.w, n.item FROM xb{z} x JOIN need n ON n.room = x.room),
+why{z} AS (SELECT src, dst, unit, CASE WHEN (src, dst, unit) IN (SELECT (src, dst, item) FROM dem{z}) THEN 'forced' WHEN (src, dst) IN (SELECT (src, dst) FROM pne{z}) AND (src, dst, unit) NOT IN (SELECT (src, dst, item) FROM still{z}) THEN 'unholdable: cost'
+    WHEN NOT EXISTS (SELECT 1 FROM wyn{z} y WHERE y.src = s.src AND y.dst = s.dst AND NOT (y.w IN (SELECT w FROM xa{z}) AND (y.w, s.unit) NOT IN (SELECT (w, item) FROM la{z}) OR y.w IN (SELECT w FROM xb{z}) AND (y.w, s.unit) NOT IN (SELECT (w, item) FROM lb{z}))) THEN 'retired' END why FROM strand0{z} s WHERE single),
+strand{z} AS (SELECT src, dst, unit FROM strand0{z} LEFT JOIN why{z} USING (src, dst, unit) WHERE why IS NULL),
 gstr{z} AS (SELECT DISTINCT g.room, array_to_string(g.items, '|') unit FROM grp{z} g WHERE g.room IN (SELECT room FROM reach) AND (array_to_string(g.items, '|'), g.room) IN (SELECT (unit, room) FROM rw{z}) AND (array_to_string(g.items, '|'), g.room) NOT IN (SELECT (unit, room) FROM rb{z}))"""
 
 
@@ -92,7 +105,7 @@ def _world(spark, d) -> World:
     ways = written(star.world_ways(spark, d))
     edges = written(ways.select("src", "dst").distinct())
     start = written(graph.widest(graph.closure(star.rooms(spark, d), edges)).select("room"))
-    return World(ways, star.world_writes(spark, d), star.world_steps(spark, d), star.sources(spark, d), star.needs(spark, d), start, graph.terminals(edges), star.world_grants(spark, d), (("flag",), ("status",)))
+    return World(ways, star.world_writes(spark, d), star.world_steps(spark, d), star.sources(spark, d), star.needs(spark, d), start, graph.terminals(edges), star.world_grants(spark, d), (("flag",), ("status",)), star.drops(spark, d))
 
 
 @query("SELECT room, v flag FROM sta", _WORLD)
@@ -197,6 +210,12 @@ def gated_strandings(spark, d):
     return _world(spark, d).strandings()
 
 
+@query("SELECT src, dst, unit, why FROM why WHERE why IS NOT NULL", _WORLD)
+def dropped_strandings(spark, d):
+    """Strandings that are no findings, and why: the crossing asks for the item, nobody can hold it there, or the crossing ends its need."""
+    return _world(spark, d).dropped()
+
+
 @query("SELECT room, unit FROM gstr", _WORLD)
 def group_strandings(spark, d):
     return _world(spark, d).group_strandings()
