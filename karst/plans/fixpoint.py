@@ -43,9 +43,34 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SHARED: dict = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str, make, tables: tuple[str, ...] = ("lineitem", "orders", "part", "supplier")):
+    """What make() gives, made once for the tables of a folder as they are now: queries of one model share what it wrote.
+
+    It is made anew when a table has changed (by length or time of change) or when what it wrote is no longer there.
+    """
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+
+    def status(path: str):
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        return (fs.getFileStatus(p).getLen(), fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else None
+
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), tuple(status(f"{sf_dir}/{t}.parquet") for t in tables)
+    held = _SHARED.get(key)
+    if held is None or held[1] != now or not all(map(status, held[2])):
+        before = len(_WRITTEN)
+        value = make()
+        _SHARED[key] = held = value, now, _WRITTEN[before:]
+    return held[0]
+
+
 def discard_written(spark: SparkSession) -> int:
     """Deletes all tables that queries of this process have written so far; results that were not saved elsewhere can't be read any more."""
     conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    _SHARED.clear()
     while _WRITTEN:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
         gone += bool(path.getFileSystem(conf).delete(path, True))

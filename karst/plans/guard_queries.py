@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import guards
 from karst.operators import guard_trees as T
+from karst.plans.fixpoint import shared
 from karst.plans.registry import query
 from karst.sources import star
 
@@ -42,7 +43,7 @@ def _folded(leaf: str, groups: str = "f = 'A'") -> str:
 
 
 def _levelled(spark, d) -> DataFrame:
-    return T.levels(star.guard_nodes(spark, d))
+    return shared(spark, d, "guards", lambda: T.levels(star.guard_nodes(spark, d)))
 
 
 def _domain(levelled: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from karst.operators import extract
 from karst.operators.world import World
+from karst.plans.fixpoint import shared, written
 from karst.plans.registry import query
 from karst.sources import programs
 
@@ -22,7 +23,7 @@ _TEMPLATES = ", ".join(f"({', '.join(map(_literal, row))})" for row in programs.
 _STANDS = "CASE {0} WHEN -1 THEN dst WHEN -2 THEN item WHEN -3 THEN reg WHEN -4 THEN v ELSE {0} END {0}"
 _PROGRAM = f"""
 tpl(form, off, up, ord, depth, last, t, name, vtype, idx, value) AS (VALUES {_TEMPLATES}),
-st AS MATERIALIZED (SELECT l_orderkey k, l_linenumber ln, l_partkey % {len(programs.FORMS)} form, l_partkey % 40 item, l_suppkey dst, l_suppkey % 5 + 20 reg, l_quantity::BIGINT % 4 v FROM lineitem
+st AS MATERIALIZED (SELECT l_orderkey k, l_linenumber ln, l_partkey % {len(programs.FORMS)} form, l_partkey % 40 item, l_suppkey + 1 dst, l_suppkey % 5 + 20 reg, l_quantity::BIGINT % 4 v FROM lineitem
   QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) = 1),
 body AS MATERIALIZED (SELECT k, CASE p WHEN '5-LOW' THEN 0 ELSE s END script, CASE p WHEN '5-LOW' THEN 'p' ELSE 'o' END || k AS id, p <> '1-URGENT' mv FROM (SELECT k, arg_min(dst, ln) s, any_value(o_orderpriority) p FROM st JOIN orders ON o_orderkey = k GROUP BY k)),
 node AS MATERIALIZED (SELECT k, {programs.STRIDE} * (ln - 1) + 1 + off node, CASE off WHEN 0 THEN 0 ELSE {programs.STRIDE} * (ln - 1) + 1 + up END parent, CASE off WHEN 0 THEN ln - 1 ELSE ord END ord, t, CASE name WHEN '$next' THEN 'p' || (k + 1) ELSE name END name, vtype, {_STANDS.format('idx')}, {_STANDS.format('value')}
@@ -38,7 +39,7 @@ asg AS MATERIALIZED (SELECT a.k, a.node leaf, x.vtype vt, x.idx, y.value FROM no
 cal AS MATERIALIZED (SELECT c.k, c.node leaf, b.k AS into FROM node c JOIN body b ON b.id = c.name AND b.script = 0 WHERE c.t = 'PublicCall'),
 want AS (SELECT k, leaf FROM say UNION SELECT k, leaf FROM asg UNION SELECT k, leaf FROM cal),
 climb(k, leaf, node) AS (SELECT k, leaf, leaf FROM want UNION ALL SELECT c.k, c.leaf, n.parent FROM climb c JOIN node n ON n.k = c.k AND n.node = c.node),
-cond AS MATERIALIZED (SELECT k, leaf, list_sort(list(DISTINCT id || ':' || test || CASE WHEN holds THEN '+' ELSE '-' END)) conds FROM climb JOIN arm ON arm.k = climb.k AND arm.arm = climb.node JOIN body b ON b.k = climb.k GROUP BY climb.k, leaf),
+cond AS MATERIALIZED (SELECT climb.k, leaf, list_sort(list(DISTINCT id || ':' || test || CASE WHEN holds THEN '+' ELSE '-' END)) conds FROM climb JOIN arm ON arm.k = climb.k AND arm.arm = climb.node JOIN body b ON b.k = climb.k GROUP BY climb.k, leaf),
 cond2 AS MATERIALIZED (SELECT k, leaf, coalesce(conds, []) conds FROM want LEFT JOIN cond USING (k, leaf)),
 ctx(room, k, mv, conds, seen) AS (SELECT script, k, mv, []::VARCHAR[], []::BIGINT[] FROM body WHERE script <> 0
   UNION SELECT room, "into", mv, list_sort(list_distinct(list_concat(ctx.conds, c.conds))), list_sort(list_append(seen, "into")) FROM ctx JOIN cal USING (k) JOIN cond2 c USING (k, leaf) WHERE NOT list_contains(seen, "into")),
@@ -64,8 +65,11 @@ _CONDS = "array_to_string(conds, ' ')"
 
 
 def _program(spark, d) -> extract.Program:
-    nodes = programs.program_nodes(spark, d)
-    return extract.extract(nodes, extract.room_scopes(nodes, programs.program_rooms(spark, d)))
+    def make() -> extract.Program:
+        nodes = written(programs.program_nodes(spark, d))
+        return extract.extract(nodes, extract.room_scopes(nodes, programs.program_rooms(spark, d)))
+
+    return shared(spark, d, "program", make)
 
 
 def _shown():
@@ -108,7 +112,7 @@ def program_needs(spark, d):
     _PROGRAM
     + """, wy AS (SELECT DISTINCT room src, f.value dst, a.value req FROM fact f LEFT JOIN asked a ON a.conds = f.conds AND a.idx = 20 AND a.pos WHERE kind IN ('move', 'pending') AND mv),
 wr AS (SELECT DISTINCT room, value v FROM fact WHERE kind = 'set' AND register = 'r20'),
-mv AS (SELECT src, req, dst, NULL w FROM wy UNION ALL SELECT room, NULL, room, v FROM wr),
+mv AS (SELECT src, req, dst, NULL::BIGINT w FROM wy UNION ALL SELECT room, NULL, room, v FROM wr),
 run(room, v) AS (SELECT 1, 0 UNION SELECT dst, coalesce(w, v) FROM run JOIN mv ON src = room AND (req IS NULL OR req = v))""",
 )
 def program_states(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from karst.operators import graph
 from karst.operators.world import World
-from karst.plans.fixpoint import written
+from karst.plans.fixpoint import shared, written
 from karst.plans.registry import query
 from karst.sources import star
 
@@ -102,10 +102,14 @@ wyg AS (SELECT src, dst, reqf, setf, reqs, sets, CASE WHEN s.items IS NULL THEN
 
 
 def _world(spark, d) -> World:
-    ways = written(star.world_ways(spark, d))
-    edges = written(ways.select("src", "dst").distinct())
-    start = written(graph.widest(graph.closure(star.rooms(spark, d), edges)).select("room"))
-    return World(ways, star.world_writes(spark, d), star.world_steps(spark, d), star.sources(spark, d), star.needs(spark, d), start, graph.terminals(edges), star.world_grants(spark, d), (("flag",), ("status",)), star.drops(spark, d))
+    def make() -> World:
+        ways = written(star.world_ways(spark, d))
+        edges = written(ways.select("src", "dst").distinct())
+        start = written(graph.widest(graph.closure(star.rooms(spark, d), edges)).select("room"))
+        relations = [written(f(spark, d)) for f in (star.world_writes, star.world_steps, star.sources, star.needs)]
+        return World(ways, *relations, start, graph.terminals(edges), written(star.world_grants(spark, d)), (("flag",), ("status",)), written(star.drops(spark, d)))
+
+    return shared(spark, d, "world", make)
 
 
 @query("SELECT room, v flag FROM sta", _WORLD)

@@ -64,7 +64,7 @@ def bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     first = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     one = items.withColumn("_n", F.row_number().over(first)).where("_n = 1")
     statements = one.select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), (F.col("l_partkey") % len(FORMS)).alias("form"), (F.col("l_partkey") % 40).cast("int").alias("item"), F.col("l_suppkey").cast("int").alias("dst"),
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("ln"), (F.col("l_partkey") % len(FORMS)).alias("form"), (F.col("l_partkey") % 40).cast("int").alias("item"), (F.col("l_suppkey") + 1).cast("int").alias("dst"),
         (F.col("l_suppkey") % 5 + 20).cast("int").alias("reg"), (F.col("l_quantity").cast("long") % 4).cast("int").alias("val"),
     )
     script = statements.groupBy("k").agg(F.min_by("dst", "ln").alias("script"))
@@ -94,5 +94,6 @@ def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def program_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """script, room: a supplier's script runs in its room."""
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("script"), F.col("s_suppkey").cast("int").alias("room"))
+    """script, room: a supplier's script runs in its room; numbers are one above its key, as no room has number 0."""
+    room = (F.col("s_suppkey") + 1).cast("int")
+    return table(spark, sf_dir, "supplier").select(room.alias("script"), room.alias("room"))
