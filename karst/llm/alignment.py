@@ -24,12 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, KEPT, gathered, large, pack, pack_sorted, session_of, staged, task, unpack, unpack_sorted
+from .common import KEPT, gathered, large, pack, pack_sorted, session_of, staged, task, unpack, unpack_sorted
 
 #: Buckets of A ids, and the blocks of a bucket that one part holds at most, about.
-BUCKETS, PART = 128, 1024
+BUCKETS, PART = 128, 2048
+#: Bytes of text in a block, at most, but for a longer text.
+BLOCK_BYTES = 2 << 20
 #: Units that a worker keeps, and their characters, at most about: then it begins anew.
-CACHED, CHARS = 250_000, 4_000_000
+CACHED, CHARS = 150_000, 3_000_000
 #: White space before which texts are cut. A unit: such white space and what follows it; texts with other white space are not cut.
 SPACE = " \t\n\f\v"
 UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
@@ -360,7 +362,7 @@ def _added(batches):
         yield from done()
 
 
-def align_tokens(docs: DataFrame, path_a: str, path_b: str, buckets: int = BUCKETS, part: int = PART, block_bytes: int = BATCH_BYTES, flush: int = 4_000_000) -> DataFrame:
+def align_tokens(docs: DataFrame, path_a: str, path_b: str, buckets: int = BUCKETS, part: int = PART, block_bytes: int = BLOCK_BYTES, flush: int = 4_000_000) -> DataFrame:
     """One row for each document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     docs: doc_id long, text string; other columns are ignored. path_a: file of a byte-level tokenizer that is given space + text; path_b:
