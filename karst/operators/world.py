@@ -185,7 +185,7 @@ class World:
             seeds = named.select(F.col("place").alias("walk"), F.lit(BEFORE).alias("node"), F.col("unit").alias("ban"))
             found = walks(seeds, self._from_start(p, self._barred(p, units, True))).where(F.col("node") != BEFORE).join(named.withColumnRenamed("place", "walk"), "walk")
             parts.append(found.select("unit", self.room(p)).distinct())
-        return self._in_all(parts, ["unit", "room"])
+        return written(self._in_all(parts, ["unit", "room"]))
 
     def reobtainable(self, units: DataFrame) -> DataFrame:
         """unit, room: in every projection a reached state of the room leads to a source of the unit without anything of the unit."""
@@ -318,14 +318,14 @@ class World:
         each = self.ways.select("src", "dst", F.explode(opened()).alias("alt"))
         many = each.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("all"))
         found = each.select("src", "dst", F.explode(F.array_distinct("alt")).alias("item")).groupBy("src", "dst", "item").agg(F.count(F.lit(1)).alias("n"))
-        return found.join(many, ["src", "dst"]).where("n = all").select("src", "dst", "item")
+        return written(found.join(many, ["src", "dst"]).where("n = all").select("src", "dst", "item"))
 
     @cached_property
     def groups(self) -> DataFrame:
         """room, items: alternatives of one way out of a room that have nothing in common, none free: any of the items will do."""
         alts = F.array_distinct(F.transform("alts", lambda a: F.array_sort(a)))
         found = self.ways.select(F.col("src").alias("room"), alts.alias("alts")).where("size(alts) >= 2 and not exists(alts, a -> size(a) = 0)")
-        return found.where(F.size(guards.common(F.col("alts"))) == 0).select("room", guards.mentioned(F.col("alts")).alias("items")).distinct()
+        return written(found.where(F.size(guards.common(F.col("alts"))) == 0).select("room", guards.mentioned(F.col("alts")).alias("items")).distinct())
 
     @cached_property
     def units(self) -> DataFrame:
@@ -346,7 +346,7 @@ class World:
         found = every.join(faced, "item").select("unit", "group", "room").distinct()
         covered = self.groups.select("room", F.explode("items").alias("unit")).distinct()
         single = found.where("not group").join(covered, ["unit", "room"], "left_anti").join(items.select("unit"), "unit", "left_semi")
-        return single.select("unit", "room").unionAll(found.where("group").select("unit", "room"))
+        return written(single.select("unit", "room").unionAll(found.where("group").select("unit", "room")))
 
     @cached_property
     def reach(self) -> DataFrame:

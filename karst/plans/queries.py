@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import guards
 from karst.operators import detect, gated, graph, idioms, product
-from karst.plans import guard_queries, idiom_queries, latch_queries, machine_queries, market_queries, program_queries, world_queries  # noqa: F401
+from karst.plans import guard_queries, idiom_queries, latch_queries, machine_queries, market_queries, program_queries, window_queries, world_queries  # noqa: F401
 from karst.plans.fixpoint import written
 from karst.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from karst.sources import star
@@ -215,18 +215,18 @@ def clamped_carry(spark, d):
     return idioms.clamped(star.table(spark, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id", step).select("event_id", "user_id", "carry")
 
 
-@_query("SELECT a.p_partkey a, b.p_partkey b FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(a.p_retailprice::BIGINT - b.p_retailprice::BIGINT) <= 3 AND a.p_size = 1 AND b.p_size = 2", model=False)
+@_query("SELECT a.p_partkey a, b.p_partkey b FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs(floor(a.p_retailprice + 0.5)::BIGINT - floor(b.p_retailprice + 0.5)::BIGINT) <= 3 AND a.p_partkey < b.p_partkey", model=False)
 def band_join_cells(spark, d):
-    price = F.round("p_retailprice").cast("long")
+    price = F.floor(F.col("p_retailprice") + 0.5).cast("long")
     parts = star.table(spark, d, "part")
-    a = parts.where("p_size = 1").select("p_brand", F.col("p_partkey").alias("a"), price.alias("x"))
-    b = parts.where("p_size = 2").select("p_brand", F.col("p_partkey").alias("b"), price.alias("y"))
-    return idioms.band_join(a, b, "p_brand", "x", "y", 3).select("a", "b")
+    a = parts.select("p_brand", F.col("p_partkey").alias("a"), price.alias("x"))
+    b = parts.select("p_brand", F.col("p_partkey").alias("b"), price.alias("y"))
+    return idioms.band_join(a, b, "p_brand", "x", "y", 3).where("a < b").select("a", "b")
 
 
-@_query("c AS (SELECT DISTINCT c_custkey % 40 x, (c_custkey // 40) % 40 y FROM customer WHERE c_acctbal >= 1500), f(x, y) AS (SELECT x, y FROM c WHERE y = 0 UNION SELECT c.x, c.y FROM f JOIN c ON abs(c.x - f.x) + abs(c.y - f.y) = 1) SELECT x, y FROM f".replace("c AS", "WITH RECURSIVE c AS", 1), model=False)
+@_query("c AS (SELECT DISTINCT c_custkey % 40 x, c_custkey // 40 y FROM customer WHERE c_acctbal >= 1500), f(x, y) AS (SELECT x, y FROM c WHERE y = 0 UNION SELECT c.x, c.y FROM f JOIN c ON abs(c.x - f.x) + abs(c.y - f.y) = 1) SELECT x, y FROM f".replace("c AS", "WITH RECURSIVE c AS", 1), model=False)
 def flood_fill(spark, d):
-    cells = star.table(spark, d, "customer").where("c_acctbal >= 1500").select((F.col("c_custkey") % 40).alias("x"), F.pmod(F.floor(F.col("c_custkey") / 40), F.lit(40)).alias("y")).distinct()
+    cells = star.table(spark, d, "customer").where("c_acctbal >= 1500").select((F.col("c_custkey") % 40).alias("x"), F.floor(F.col("c_custkey") / 40).alias("y")).distinct()
     return idioms.flood(cells, cells.where("y = 0"), 40)
 
 

@@ -231,10 +231,12 @@ def guard_specs(spark, d):
     return found.select("src", "dst", F.array_join("items", ",").alias("items"), F.array_join(F.transform("groups", lambda g: F.array_join(g, "|")), ",").alias("groups"))
 
 
-@query("SELECT src, dst, item FROM (SELECT src, dst, unnest(items) item FROM spec) WHERE (item, src) NOT IN (SELECT (unit, room) FROM rb)", _WORLD + _SPEC)
+@query("SELECT DISTINCT e.src, e.dst, n.item FROM edge e JOIN need n ON n.room = e.dst WHERE (n.item, e.src) NOT IN (SELECT (unit, room) FROM rb)", _WORLD)
 def unsatisfiable_specs(spark, d):
+    """Were each crossing to ask for all that its end needs: what could not be had before it."""
     world = _world(spark, d)
-    return world.unsatisfiable(world.specs())
+    asked = world.edges.join(world.needs.withColumnRenamed("room", "dst"), "dst").groupBy("src", "dst").agg(F.collect_set("item").alias("items"))
+    return world.unsatisfiable(asked)
 
 
 @query("SELECT src, dst, reqf req_flag, setf set_flag, reqs req_status, sets set_status, array_to_string(list_transform(alts, lambda a: array_to_string(a, '+')), '|') alts FROM wyg", _WORLD + _GUARDED)
