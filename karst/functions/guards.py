@@ -74,7 +74,7 @@ def _joined(terms: Column, word: str) -> Column:
     return F.when(F.size(terms) == 1, F.element_at(terms, 1)).otherwise(F.concat(F.lit(f"({word} "), F.array_join(terms, " "), F.lit(")")))
 
 
-def rendered(parts: Column, holds: str = "(gEgo has: {})") -> Column:
+def rendered(parts: Column, holds: str) -> Column:
     """A factored guard as a symbolic expression; null if it asks nothing. holds: how the test of one item is spelled."""
     before, after = (F.lit(x) for x in holds.split("{}"))
     has = lambda items: F.transform(items, lambda x: F.concat(before, x, after))

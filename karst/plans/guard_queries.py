@@ -293,4 +293,4 @@ def factored_guards(spark, d):
 
 @query("SELECT site, CASE WHEN len(t) = 0 THEN NULL WHEN len(t) = 1 THEN t[1] ELSE '(and ' || array_to_string(t, ' ') || ')' END text FROM terms", _LITERALS.replace("x -> ", "lambda x: "))
 def rendered_guards(spark, d):
-    return _sites(spark, d).select("site", guards.rendered(guards.factored(F.col("alts"))).alias("text"))
+    return _sites(spark, d).select("site", guards.rendered(guards.factored(F.col("alts")), "(gEgo has: {})").alias("text"))
