@@ -15,12 +15,14 @@ def _remainder(mod: int):
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without runs of lines that stand before elsewhere; see line_dedup() for nulls, ties and repeated rows."""
     from .line_dedup import line_dedup
 
     return line_dedup(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those with remainder 0 or 2; `und` without a letter. See language_ids()."""
     from .language_id import fit_languages, language_ids
 
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -29,18 +31,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark; null and empty texts hold none. See contaminated()."""
     from .decontamination import contaminated
 
     return contaminated(_read(spark, sf_dir, "documents", "doc_id", "text"), _read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of its similar texts and its number of links; texts without words are alone. See ngram_join()."""
     from .ngram_join import ngram_join
 
     return ngram_join(_read(spark, sf_dir, "documents", "doc_id", "text")).drop("content", "root")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record says after writing and reading the archives; a null html is an empty payload. See resolved()."""
     from .warc import archive_folder, read_archives, resolved, write_archives
 
     index = write_archives(_read(spark, sf_dir, "pages", "page_id", "url", "html"), archive_folder(spark))
@@ -48,6 +53,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kinds of rows: paragraphs (from paragraph_dedup) and runs of words (from passage_dedup), whose columns are null in the other kind."""
     from .common import collected
     from .paragraph_dedup import paragraph_dedup
     from .passage_dedup import passage_dedup
@@ -59,6 +65,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from labels whose remainder is not 0; empty texts have a score too. See quality_scores()."""
     from .quality import fit_quality, quality_scores
 
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
@@ -67,18 +74,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each vec_id divisible by 20; unusable vectors take no part. See nearest()."""
     from .nearest import nearest
 
     return nearest(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability and its base score, learned from those whose remainder is not 2; a null text is empty. See lm_scores()."""
     from .lm_scoring import lm_scores
 
     return lm_scores(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2,048 tokens; a null text gives its separator alone. See pack_documents()."""
     import public_tokenizers
 
     from .packing import pack_documents
@@ -87,18 +97,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every usable vector after ten exact rounds; see ball_tree_clusters() for what is unusable."""
     from .ball_tree import ball_tree_clusters
 
     return ball_tree_clusters(_read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; a null text has zeros and fails. See quality_rules()."""
     from .quality_rules import quality_rules
 
     return quality_rules(_read(spark, sf_dir, "documents", "doc_id", "text", "lang")).drop("word_distance", "class_distance")
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and their counts of every document; texts that their tokens do not spell have zeros. See align_tokens()."""
     import public_tokenizers
 
     from .alignment import align_tokens
