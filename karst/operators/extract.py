@@ -74,6 +74,20 @@ def messages(shaped: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return found.withColumn("_of", F.col("receiver.node")).join(named, [*BODY, "_of"], "left").drop("_of")
 
 
+@dataclass(frozen=True)
+class Read:
+    """What every step of an extraction reads of its nodes, written once: shapes(), messages() and tree.spans()."""
+
+    shaped: DataFrame
+    sent: DataFrame
+    spanned: DataFrame
+
+
+def read_of(nodes: DataFrame, vocabulary: Vocabulary) -> Read:
+    shaped = written(shapes(nodes))
+    return Read(shaped, written(messages(shaped, vocabulary)), written(tree.spans(nodes)))
+
+
 def _ego(receiver: Column, vocabulary: Vocabulary) -> Column:
     return F.coalesce((receiver["t"] == "Variable") & (receiver["vtype"] == "Global") & (receiver["idx"] == vocabulary.ego), F.lit(False))
 
@@ -128,13 +142,13 @@ def atoms(shaped: DataFrame, sent: DataFrame, vocabulary: Vocabulary) -> DataFra
     return df.withColumn("_atom", F.coalesce(found, other)).select(*BODY, "node", "parent", "ord", F.expr("_pt in ('PublicCall', 'LocalCall') and ord = 0").alias("subject"), "_atom.*")
 
 
-def tests(nodes: DataFrame, roots: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def tests(nodes: DataFrame, roots: DataFrame, vocabulary: Vocabulary, read: Read | None = None) -> DataFrame:
     """The guard nodes of each test: the body columns, test, node, parent (null at the top), op, kind, var, cmp, value. roots: the body columns, test.
 
     Goes down from the tests through AND, OR and NOT, one join for each level over all programs together.
     """
-    shaped = written(shapes(nodes))
-    read = written(atoms(shaped, messages(shaped, vocabulary), vocabulary))
+    given = read or read_of(nodes, vocabulary)
+    read = written(atoms(given.shaped, given.sent, vocabulary))
     kind = ["op", "kind", "var", "cmp", "value"]
     top = roots.select(*BODY, "test").distinct().join(read.withColumnRenamed("node", "test").drop("parent"), [*BODY, "test"])
     front = written(top.select(*BODY, "test", F.col("test").alias("node"), F.lit(None).cast("int").alias("parent"), *kind, "inner"))
@@ -156,19 +170,19 @@ def calls(nodes: DataFrame) -> DataFrame:
     return sites.join(procedures, ["file", "to_script", "to_body"], "left_semi").select(*BODY, "leaf", "to_script", "to_body")
 
 
-def conditions(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
+def conditions(nodes: DataFrame, leaves: DataFrame, read: Read | None = None) -> DataFrame:
     """The body columns, leaf and conditions (an array, empty where nothing is tested) of each leaf. leaves: the body columns, leaf."""
-    own = tree.path_conditions(nodes, leaves).groupBy(*BODY, "leaf").agg(F.sort_array(F.collect_set(F.struct(*BODY, "test", "holds"))).cast(f"array<{CONDITION}>").alias("conditions"))
+    own = tree.path_conditions(nodes, leaves, read and read.spanned).groupBy(*BODY, "leaf").agg(F.sort_array(F.collect_set(F.struct(*BODY, "test", "holds"))).cast(f"array<{CONDITION}>").alias("conditions"))
     return leaves.distinct().join(own, [*BODY, "leaf"], "left").withColumn("conditions", F.coalesce("conditions", F.array().cast(f"array<{CONDITION}>")))
 
 
-def contexts(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
+def contexts(nodes: DataFrame, scopes: DataFrame, read: Read | None = None) -> DataFrame:
     """room, the body columns, movement, conditions: every room in which a body runs, and the tests on the ways of calls to it.
 
     scopes: room, the body columns, movement (false where a machine owns the moves), conditions or none. Two ways with the same tests are one.
     """
     sites = calls(nodes)
-    sites = written(conditions(nodes, sites.select(*BODY, "leaf")).join(sites, [*BODY, "leaf"]).select(*BODY, F.col("conditions").alias("_more"), "to_script", "to_body"))
+    sites = written(conditions(nodes, sites.select(*BODY, "leaf"), read).join(sites, [*BODY, "leaf"]).select(*BODY, F.col("conditions").alias("_more"), "to_script", "to_body"))
     held = F.col("conditions") if "conditions" in scopes.columns else F.array()
     seen = F.when(F.col("owner") == "", F.array(F.struct("script", "body"))).otherwise(F.array()).cast("array<struct<script:int,body:string>>")
     front = written(scopes.select("room", *BODY, "movement", held.cast(f"array<{CONDITION}>").alias("conditions"), seen.alias("_seen")).distinct())
@@ -183,7 +197,7 @@ def contexts(nodes: DataFrame, scopes: DataFrame) -> DataFrame:
         every.append(front)
 
 
-def effects(nodes: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def effects(nodes: DataFrame, vocabulary: Vocabulary, read: Read | None = None) -> DataFrame:
     """The body columns, leaf, kind, item, register, value, extra: what each statement does, wherever it runs.
 
     move: to room value; exit, pending: a way to room value opened by a property, or by the global of the room to come; take: an item comes to
@@ -191,8 +205,8 @@ def effects(nodes: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     it is counted). A move to a variable goes to every room that some assignment gives it, under the tests of the assignment (extra): a global's
     assignments in its program, a local one's in its script, a temporary one's in its body.
     """
-    shaped = written(shapes(nodes))
-    sent = written(messages(shaped, vocabulary))
+    read = read or read_of(nodes, vocabulary)
+    shaped, sent = read.shaped, read.sent
     p1, p2 = F.try_element_at("params", F.lit(1)), F.try_element_at("params", F.lit(2))
     none, text = F.lit(None).cast("int"), lambda x: F.lit(x) if isinstance(x, str) else x
     empty = F.array().cast(f"array<{CONDITION}>")
@@ -216,18 +230,20 @@ def effects(nodes: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         set_.where((F.col("to.vtype") == "Global") & ~pending).select(*row("set", register=F.concat(F.lit("r"), F.col("to.idx")), value=F.col("of.value"))),
     ]
     variable = sent.where(moves & (p1["t"] == "Variable")).select(*BODY, "leaf", p1["vtype"].alias("vtype"), p1["idx"].alias("idx"))
-    given = set_.where((F.col("to.t") == "Variable") & room(F.col("of.value"))).join(conditions(nodes, set_.select(*BODY, "leaf")), [*BODY, "leaf"])
-    given = given.select("file", F.col("script").alias("_script"), F.col("owner").alias("_owner"), F.col("body").alias("_body"), F.col("to.vtype").alias("vtype"), F.col("to.idx").alias("idx"), F.col("of.value").alias("_value"), F.col("conditions").alias("_extra"))
-    same = (F.col("vtype") == "Global") | ((F.col("script") == F.col("_script")) & ((F.col("vtype") == "Local") | ((F.col("owner") == F.col("_owner")) & (F.col("body") == F.col("_body")))))
-    out.append(variable.join(given, ["file", "vtype", "idx"]).where(same).select(*row("move", value=F.col("_value"), extra=F.col("_extra"))).distinct())
+    given = set_.where((F.col("to.t") == "Variable") & room(F.col("of.value"))).join(conditions(nodes, set_.select(*BODY, "leaf"), read), [*BODY, "leaf"])
+    given = given.select(*BODY, F.col("to.vtype").alias("vtype"), F.col("to.idx").alias("idx"), F.col("of.value").alias("_value"), F.col("conditions").alias("_extra"))
+    for mine, scope in (("vtype = 'Global'", ["file"]), ("vtype = 'Local'", ["file", "script"]), ("vtype not in ('Global', 'Local')", BODY)):  # as keys: no send meets an assignment of another scope
+        seen = given.where(mine).select(*scope, "vtype", "idx", "_value", "_extra").distinct()
+        out.append(variable.where(mine).join(seen, [*scope, "vtype", "idx"]).select(*row("move", value=F.col("_value"), extra=F.col("_extra"))).distinct())
     return reduce(DataFrame.unionAll, out)
 
 
-def facts(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+def facts(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary, read: Read | None = None) -> DataFrame:
     """room, the body columns, leaf, movement, kind, item, register, value, conditions: each effect in each context, numbered as guard."""
-    did = written(effects(nodes, vocabulary))
-    own = conditions(nodes, did.select(*BODY, "leaf"))
-    where = contexts(nodes, scopes).withColumnRenamed("conditions", "_held")
+    read = read or read_of(nodes, vocabulary)
+    did = written(effects(nodes, vocabulary, read))
+    own = conditions(nodes, did.select(*BODY, "leaf"), read)
+    where = contexts(nodes, scopes, read).withColumnRenamed("conditions", "_held")
     found = did.join(own, [*BODY, "leaf"]).join(where, BODY)
     found = found.withColumn("conditions", F.array_sort(F.array_union(F.array_union("_held", "conditions"), "extra"))).drop("_held", "extra").distinct()
     return written(found.withColumn("guard", F.monotonically_increasing_id()))
@@ -315,9 +331,10 @@ class Program:
 def extract(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Program:  # noqa: B008
     """All facts of programs. nodes: see sources.ir; scopes: room, the body columns, movement."""
     nodes = written(nodes)
-    found = facts(nodes, scopes, vocabulary)
+    read = read_of(nodes, vocabulary)
+    found = facts(nodes, scopes, vocabulary, read)
     roots = found.select(F.explode("conditions").alias("c")).select(*(F.col(f"c.{x}").alias(x) for x in [*BODY, "test"])).distinct()
-    levelled = guard_trees.levels(guard_trees_of(found, tests(nodes, roots, vocabulary)))
+    levelled = guard_trees.levels(guard_trees_of(found, tests(nodes, roots, vocabulary, read)))
     away = guard_trees.elsewhere(levelled, f"r{vocabulary.here}", found.select("guard", "room"))
     never = away.select("guard").unionAll(guard_trees.contradictory(levelled))
     kept = written(found.join(never, "guard", "left_anti"))

@@ -57,7 +57,11 @@ def arms(nodes: DataFrame) -> DataFrame:
     return plain.unionAll(own).unionAll(earlier)
 
 
-def path_conditions(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
-    """For each leaf the tests on the way to it: leaf, test, holds. leaves: the body columns, leaf."""
-    span = nodes.select(*BODY, F.col("node").alias("arm"), F.col("post").alias("_end"))
-    return leaves.join(arms(nodes).join(span, [*BODY, "arm"]), BODY).where("leaf between arm and _end").select(*BODY, "leaf", "test", "holds").distinct()
+def spans(nodes: DataFrame) -> DataFrame:
+    """The body columns, arm, test, holds, and _end: the arms with the last node of each."""
+    return arms(nodes).join(nodes.select(*BODY, F.col("node").alias("arm"), F.col("post").alias("_end")), [*BODY, "arm"])
+
+
+def path_conditions(nodes: DataFrame, leaves: DataFrame, spanned: DataFrame | None = None) -> DataFrame:
+    """For each leaf the tests on the way to it: leaf, test, holds. leaves: the body columns, leaf. spanned: spans(nodes), where they are at hand."""
+    return leaves.join(spans(nodes) if spanned is None else spanned, BODY).where("leaf between arm and _end").select(*BODY, "leaf", "test", "holds").distinct()

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -319,3 +320,10 @@ def test_no_programs(spark):
     nodes = spark.createDataFrame([], ir.NODE)
     program = extract.extract(nodes, extract.room_scopes(nodes, spark.createDataFrame([], "script int, room int")))
     assert program.edges.count() == program.needs.count() == program.ways(["r1"]).count() == program.costs().count() == 0
+
+
+def test_moves_to_temporary_variables_meet_only_assignments_of_their_body(spark, tmp_path):
+    nodes = nodes_of(spark, tmp_path, [script(1, [("a", node("List", send(node("Object", name="self"), "newRoom", variable(1, "Temp"))))])])
+    plan = extract.effects(nodes, V)._jdf.queryExecution().executedPlan().toString()
+    keys = [re.findall(r"(\w+)#", k) for k in re.findall(r"Join \[([^\]]*)\]", plan)]
+    assert any({"body", "vtype", "idx"} <= set(k) for k in keys)
