@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from karst.plans.fixpoint import written
 
@@ -20,25 +23,60 @@ from karst.plans.fixpoint import written
 OPPOSITE = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
 
 
+def _whole(batches, rows: int = 1 << 17):
+    """Arrow batches that come sorted by guard, as tables of whole guards."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            t = pa.Table.from_batches(held).combine_chunks()
+            guard = t["guard"].to_numpy()
+            last = int(np.searchsorted(guard, guard[-1]))
+            if last:
+                yield t.slice(0, last)
+            held = t.slice(last).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _placed(batches):
+    """The nodes of whole guards that hang below a root, with depth, positive, plain, spine and below."""
+    for t in _whole(batches):
+        of = np.unique(t["guard"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+        top = np.array(t["parent"].is_null())
+        names, place = np.unique(np.concatenate([t["node"].to_numpy(), t["parent"].fill_null(0).to_numpy()]), return_inverse=True)
+        node, parent = of * len(names) + place[: len(of)], of * len(names) + place[len(of) :]
+        order = np.argsort(node, kind="stable")
+        above = order[np.minimum(np.searchsorted(node, parent, sorter=order), len(of) - 1)]
+        hangs = ~top & (node[above] == parent)
+        op = t["op"].to_numpy()
+        inverts, conjoins, atom = op == "NOT", op == "AND", op == "ATOM"
+        depth = np.where(top, 0, -1).astype(np.int32)
+        positive, plain, spine = top.copy(), top.copy(), top.copy()
+        level, front = 0, np.flatnonzero(hangs & (depth[above] == 0))
+        while len(front):
+            level, up = level + 1, above[front]
+            depth[front] = level
+            positive[front] = positive[up] ^ inverts[up]
+            plain[front] = plain[up] & ~inverts[up]
+            spine[front] = spine[up] & (conjoins[up] | (inverts[up] & atom[front]))
+            front = np.flatnonzero(hangs & (depth < 0) & (depth[above] == level))
+        found = np.flatnonzero(depth >= 0)
+        below = np.bincount(above[found[depth[found] > 0]], minlength=len(of))
+        more = {"depth": depth, "positive": positive, "plain": plain, "spine": spine, "below": below}
+        for c, x in more.items():
+            t = t.append_column(c, pa.array(x))
+        yield from t.take(pa.array(found)).to_batches()
+
+
 def levels(nodes: DataFrame) -> DataFrame:
-    """Adds depth, positive (an even number of NOT above), plain (no NOT above) and spine (only AND above, or a NOT right over the atom)."""
-    rest = written(nodes)
-    done = rest.where("parent is null").withColumns({"depth": F.lit(0), "positive": F.lit(True), "plain": F.lit(True), "spine": F.lit(True)})
-    level, front = 0, done
-    while True:
-        above = front.select("guard", F.col("node").alias("parent"), F.col("op").alias("_op"), F.col("positive").alias("_positive"), F.col("plain").alias("_plain"), F.col("spine").alias("_spine"))
-        level += 1
-        front = rest.join(above, ["guard", "parent"]).select(
-            *nodes.columns,
-            F.lit(level).alias("depth"),
-            F.when(F.col("_op") == "NOT", ~F.col("_positive")).otherwise(F.col("_positive")).alias("positive"),
-            (F.col("_plain") & (F.col("_op") != "NOT")).alias("plain"),
-            (F.col("_spine") & ((F.col("_op") == "AND") | ((F.col("_op") == "NOT") & (F.col("op") == "ATOM")))).alias("spine"),
-        )
-        front = written(front)
-        if front.isEmpty():
-            return written(done)
-        done = done.unionAll(front)
+    """Adds depth, positive (an even number of NOT above), plain (no NOT above), spine (only AND above, or a NOT right over the atom) and below, the number of children.
+
+    A guard is read whole, so that the nodes move once, however deep the trees. Nodes that hang below no root are left out.
+    """
+    moved = nodes.repartition("guard").sortWithinPartitions("guard")
+    shape = T.StructType([*nodes.schema.fields, *(T.StructField(c, t) for c, t in (("depth", T.IntegerType()), ("positive", T.BooleanType()), ("plain", T.BooleanType()), ("spine", T.BooleanType()), ("below", T.LongType())))])
+    return written(moved.mapInArrow(_placed, shape))
 
 
 def atoms(levelled: DataFrame, kind: str | None = None) -> DataFrame:
@@ -76,13 +114,12 @@ def folded(levelled: DataFrame, leaves: DataFrame) -> DataFrame:
     inner = levelled.where("op <> 'ATOM'")
     all_hold = ((F.col("op") == "AND") == F.col("positive")) | (F.col("op") == "NOT")
     for depth in range(deepest or 0, 0, -1):
-        kids = levelled.where(F.col("depth") == depth).groupBy("guard", "parent").agg(F.count(F.lit(1)).alias("kids"))
         up = out.where(F.col("depth") == depth)
         own = up.groupBy("guard", "parent", "var").agg(F.count_distinct("node").alias("constrain"))
         each = up.groupBy("guard", "parent", "var", "value").agg(F.count_distinct("node").alias("allow"))
-        top = inner.where(F.col("depth") == depth - 1).select("guard", F.col("node").alias("parent"), F.col("parent").alias("_above"), all_hold.alias("all_hold"))
-        kept = each.join(own, ["guard", "parent", "var"]).join(kids, ["guard", "parent"]).join(top, ["guard", "parent"])
-        kept = kept.where("if(all_hold, allow = constrain, constrain = kids)")
+        top = inner.where(F.col("depth") == depth - 1).select("guard", F.col("node").alias("parent"), F.col("parent").alias("_above"), all_hold.alias("all_hold"), "below")
+        kept = each.join(own, ["guard", "parent", "var"]).join(top, ["guard", "parent"])
+        kept = kept.where("if(all_hold, allow = constrain, constrain = below)")
         above = kept.select("guard", F.col("parent").alias("node"), F.col("_above").alias("parent"), F.lit(depth - 1).alias("depth"), "var", "value")
         out = written(out.where(F.col("depth") < depth).unionAll(above))
     return out.where("depth = 0").select("guard", "var", "value").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from karst.functions import guards as G
 from karst.operators import guard_trees as T
+from karst.sources import star
 
 SHAPE = "guard long, node long, parent long, op string, kind string, var string, cmp string, value int"
 FLIP = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
@@ -265,3 +266,14 @@ def test_factored_guards_hold_where_their_alternatives_do(spark):
             world = {x for j, x in enumerate(("key", "map", "oil")) if bits >> j & 1}
             want = both[0] <= world and not both[1] & world and (not rest or any(p <= world and not n & world for p, n in rest))
             assert (True if r["t"] is None else read(r["t"], world)) == want
+
+
+def test_nodes_of_guards_move_once(spark):
+    plan = star.guard_nodes(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+
+
+def test_levels_place_whole_guards_and_leave_out_what_hangs_nowhere(spark):
+    deep = [(7, k, None if k == 0 else k - 1, "NOT" if k < 40 else "ATOM", "OWN", "i1", None, None) for k in range(41)]
+    found = T.levels(spark.createDataFrame([*deep, (7, 90, 91, "ATOM", "OWN", "i2", None, None), (8, 0, None, "ATOM", "OWN", "i3", None, None)], SHAPE)).collect()
+    assert {(r.guard, r.node, r.depth, r.positive, r.plain, r.below) for r in found} == {(7, k, k, k % 2 == 0, k == 0, int(k < 40)) for k in range(41)} | {(8, 0, 0, True, True, 0)}
