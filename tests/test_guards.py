@@ -277,3 +277,11 @@ def test_levels_place_whole_guards_and_leave_out_what_hangs_nowhere(spark):
     deep = [(7, k, None if k == 0 else k - 1, "NOT" if k < 40 else "ATOM", "OWN", "i1", None, None) for k in range(41)]
     found = T.levels(spark.createDataFrame([*deep, (7, 90, 91, "ATOM", "OWN", "i2", None, None), (8, 0, None, "ATOM", "OWN", "i3", None, None)], SHAPE)).collect()
     assert {(r.guard, r.node, r.depth, r.positive, r.plain, r.below) for r in found} == {(7, k, k, k % 2 == 0, k == 0, int(k < 40)) for k in range(41)} | {(8, 0, 0, True, True, 0)}
+
+
+def test_guards_are_computed_once(spark):
+    """What stands at several places of an expression, or inside a lambda, is computed at each of them."""
+    alts = F.expr("array(struct(array('i1') as present, array(concat('i', id)) as absent))")
+    for made in (G.factored(alts), G.rendered(G.factored(alts), "(has {})"), G.minimal(F.expr("array(array(concat('i', id)))"))):
+        plan = spark.range(1).select(made.alias("made"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("concat(i, ") == 1
