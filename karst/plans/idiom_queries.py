@@ -67,6 +67,7 @@ def conjoined_guards(spark, d):
     """Both the guard of a site and that of the next: products of their alternatives, the minimal ones."""
     alts = star.offers(spark, d).groupBy("site").agg(F.collect_set("alt").alias("alts")).select("site", guards.minimal(F.col("alts")).alias("alts"))
     both = alts.join(alts.select((F.col("site") - 1).alias("site"), F.col("alts").alias("next")), "site")
+    both = both.repartition(4 * spark.sparkContext.defaultParallelism, "site")  # few bytes but long work: by size alone it would all be one task
     return both.select("site", F.explode(guards.conjoined(F.col("alts"), F.col("next"))).alias("alt")).select("site", F.array_join("alt", ",").alias("alt"))
 
 

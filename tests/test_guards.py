@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from karst.functions import guards as G
 from karst.operators import guard_trees as T
 from karst.sources import star
@@ -285,3 +286,9 @@ def test_guards_are_computed_once(spark):
     for made in (G.factored(alts), G.rendered(G.factored(alts), "(has {})"), G.minimal(F.expr("array(array(concat('i', id)))"))):
         plan = spark.range(1).select(made.alias("made"))._jdf.queryExecution().analyzed().toString()
         assert plan.count("concat(i, ") == 1
+
+
+def test_conjoined_guards_are_dealt_to_all_tasks(spark):
+    """The products of a site take long and few bytes, so Spark would put all sites into one task."""
+    found = queries()["conjoined_guards"](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
