@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from karst.operators.product import many, state_arcs, states
-from karst.plans.fixpoint import walks, written
+from karst.plans.fixpoint import large, walks, written
 
 
 def _both(parts: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -74,12 +74,14 @@ def permanent_drops(moves: DataFrame, drops: DataFrame) -> DataFrame:
 
     An item that nothing ever hands over has no way to be lost and gives no row.
     """
-    named = F.xxhash64("item", "node")
-    places = moves.select("item", F.col("src").alias("node")).union(moves.select("item", "dst")).union(drops.select("item", "room")).where("node is not null").distinct()
-    free = moves.where("src is null").join(places, "item").select("item", F.col("node").alias("src"), "dst")
-    arcs = moves.where("src is not null").select("item", "src", "dst").unionAll(free)
-    arcs = arcs.select(F.xxhash64("item", "src").alias("src"), F.xxhash64("item", "dst").alias("dst"), F.lit(None).cast("string").alias("alt"))
-    drops = written(drops.join(moves.where("dst = 0").select("item").distinct(), "item", "left_semi").withColumnRenamed("room", "node").withColumn("walk", named))
-    reached = walks(drops.select("walk", F.col("walk").alias("node"), F.lit(None).cast("string").alias("ban")), arcs)
-    home = drops.withColumn("home", F.xxhash64("item", F.lit(0).cast("long"))).join(reached.withColumnRenamed("node", "home"), ["walk", "home"], "left_anti")
-    return home.select("item", F.col("node").alias("room"))
+    # what is handed over from anywhere passes through one place of its item, so that no move is multiplied by all places
+    at = lambda node, kind=0: F.xxhash64("item", F.lit(kind), node.cast("long"))
+    holder, anywhere = at(F.lit(0)), at(F.lit(0), 1)
+    places = moves.select("item", F.col("src").alias("node")).unionAll(moves.select("item", "dst")).unionAll(drops.select("item", "room")).where("node is not null").distinct()
+    arcs = moves.select(F.when(F.col("src").isNull(), anywhere).otherwise(at(F.col("src"))).alias("src"), at(F.col("dst")).alias("dst"))
+    arcs = arcs.unionAll(places.join(large(moves.where("src is null").select("item").distinct()), "item", "left_semi").select(at(F.col("node")).alias("src"), anywhere.alias("dst")))
+    handed = drops.select("item", F.col("room").alias("node")).join(large(moves.where("dst = 0").select("item").distinct()), "item", "left_semi").distinct()
+    # backward, from the holder of each item: one walk, as no arc leaves its item
+    seeds = moves.where("dst = 0").select("item").distinct().select(F.lit(0).alias("walk"), holder.alias("node"), F.lit(None).cast("string").alias("ban"))
+    back = walks(seeds, arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(None).cast("string").alias("alt")))
+    return handed.withColumn("home", at(F.col("node"))).join(back.select(F.col("node").alias("home")), "home", "left_anti").select("item", F.col("node").alias("room"))
