@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from karst.operators import detect, gated, idioms
+from karst.operators import detect, gated, graph, idioms, mazes
 from karst.plans.fixpoint import many_tasks, walks
 from karst.sources import star
 
@@ -92,3 +92,43 @@ def test_moves_from_anywhere_are_not_multiplied(spark, monkeypatch):
     stay = gated.permanent_drops(spark.createDataFrame([("a", 7, 0), ("a", 1, 50), ("a", 50, 1)], "item string, src long, dst long"), spark.createDataFrame([("a", 1), ("a", 7), ("a", 0)], "item string, room long"))
     assert [tuple(r) for r in stay.collect()] == [("a", 1)]
     assert sent[0] <= 3 * len(moves)
+
+
+def test_components_without_the_closure(spark, monkeypatch):
+    """Three rings in a chain, single rooms, a room that is no node, and rooms without arcs; few are walked from at once."""
+    rng = random.Random(7)
+    arcs = {(10 * r + k, 10 * r + (k + 1) % 10) for r in range(3) for k in range(10)} | {(5, 13), (15, 23), (40, 1), (25, 41), (99, 50), (50, 99), (51, 99), (99, 51)}
+    arcs |= {(rng.randrange(60, 80), rng.randrange(60, 80)) for _ in range(30)}
+    nodes = [*range(55), *range(60, 80)]
+    reach = {(a, a) for a in [*nodes, 99]}
+    while len(more := reach | {(a, d) for a, b in reach for s, d in arcs if s == b}) > len(reach):
+        reach = more
+    same = {a: [b for b in nodes if (a, b) in reach and (b, a) in reach] for a in nodes}
+    rows = []
+    monkeypatch.setattr(graph, "walks", lambda seeds, arcs: rows.append(seeds.count()) or walks(seeds, arcs))
+    df = spark.createDataFrame([(k,) for k in nodes], "room long")
+    found = graph.strong_components(df, spark.createDataFrame(list(arcs), "src long, dst long"), 2, 3)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((a, min(s), len(s)) for a, s in same.items())
+    assert rows[0] == 2 and sum(rows) < 2 * len(nodes)
+    assert graph.strong_components(df.limit(0), spark.createDataFrame(list(arcs), "src long, dst long")).count() == 0
+
+
+@pytest.mark.parametrize("most", [1 << 18, 14, 0])
+def test_mazes_are_walked_one_by_one(spark, monkeypatch, most):
+    rng = random.Random(11)
+    steps = {(m, rng.randrange(12), rng.randrange(12)) for m in range(3) for _ in range(12 + 6 * m)}
+    rooms = {(m, rng.randrange(12), rng.choice("pqrst")) for m in range(4) for _ in range(5)}
+    want, at = set(), {(m, c) for m, c, _ in rooms}
+    for m, c, room in rooms:
+        seen, todo = set(), [c]
+        while todo:
+            here = todo.pop()
+            new = {d for k, s, d in steps if k == m and s == here} - seen
+            seen |= new
+            todo += [d for d in new if (m, d) not in at]
+        want |= {(m, room, to) for k, d, to in rooms if k == m and d in seen and to != room}
+    called = []
+    monkeypatch.setattr(mazes, "walks", lambda seeds, arcs: called.append(1) or walks(seeds, arcs))
+    found = mazes.maze_reach(spark.createDataFrame(list(steps), "maze long, src long, dst long"), spark.createDataFrame(list(rooms), "maze long, cell long, room string"), most=most)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert bool(called) == (most < 18)
