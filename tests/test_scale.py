@@ -1,9 +1,11 @@
 """Work that grows with the input: dealt to tasks by number, without tables sent to all of them, and with no products of rows."""
 
+import itertools
 import random
 
 import pytest
 from karst.operators import detect, gated, graph, idioms, mazes
+from karst.operators.world import World
 from karst.plans.fixpoint import many_tasks, walks
 from karst.sources import star
 
@@ -132,3 +134,44 @@ def test_mazes_are_walked_one_by_one(spark, monkeypatch, most):
     found = mazes.maze_reach(spark.createDataFrame(list(steps), "maze long, src long, dst long"), spark.createDataFrame(list(rooms), "maze long, cell long, room string"), most=most)
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
     assert bool(called) == (most < 18)
+
+
+def guarded_world(spark, ways):
+    """ways: src, dst, alts."""
+    df = lambda rows, schema: spark.createDataFrame(list(rows), schema)
+    place, write = "item string, room long", "register string, room long, value int, cost array<string>"
+    rows = df(((a, b, None, None, alts) for a, b, alts in ways), "src long, dst long, req_r int, set_r int, alts array<array<string>>")
+    return World(rows, df([], write), df([], "register string, room long, frm int, to int, cost array<string>"), df([], place), df([], place), df([(1,)], "room long"), df([], "room long"), df([], place), (("r",),))
+
+
+SPEC = "src long, dst long, items array<string>, groups array<array<string>>"
+
+
+def test_alternatives_of_many_groups_stay_the_different_ones(spark):
+    """All pairs of twelve items: 2**66 ways to choose, of which 13 differ."""
+    names = [chr(97 + k) for k in range(12)]
+    w = guarded_world(spark, [(1, 2, None), (1, 3, [["z"]])])
+    specs = spark.createDataFrame([(1, 2, [], [list(p) for p in itertools.combinations(names, 2)])], SPEC)
+    but = [[x for x in names if x != y] for y in names]
+    got = {r["dst"]: r["alts"] for r in w.guarded(specs).ways.collect()}
+    assert got == {2: sorted([*but, names]), 3: [["z"]]}
+    assert {r["dst"]: r["alts"] for r in w.guarded_minimal(specs).ways.collect()} == {2: sorted(but), 3: [["z"]]}
+
+
+def test_guards_equal_a_plain_product(spark):
+    rng = random.Random(11)
+    some = lambda most, least=0: rng.sample("abcdefghijk", rng.randint(least, most))
+    ways = [(1, k, None if k == 2 else [some(3) for _ in range(rng.randint(0, 3))]) for k in range(2, 14)]
+    wanted = [(1, k, some(2), [some(3, 1) for _ in range(rng.randint(0, 4))] if k < 12 else [["a", "b"], []]) for k in range(2, 13)]
+    expected = {13: ways[-1][2]}
+    for (_, k, alts), (_, _, items, groups) in zip(ways, wanted, strict=False):
+        expected[k] = sorted({tuple(sorted({*a, *items, *chosen})) for a in alts or [[]] for chosen in itertools.product(*groups)})
+    w, specs = guarded_world(spark, ways), spark.createDataFrame(wanted, SPEC)
+    full, few = w.guarded(specs), w.guarded_minimal(specs)
+    got = {r["dst"]: r["alts"] for r in full.ways.collect()}
+    assert {k: [tuple(a) for a in v] for k, v in got.items() if k < 13} == {k: v for k, v in expected.items() if k < 13} and got[13] == expected[13]
+    least = {r["dst"]: {tuple(a) for a in r["alts"]} for r in few.ways.collect() if r["dst"] < 13}
+    assert least == {k: {a for a in v if not any(set(b) < set(a) for b in v)} for k, v in expected.items() if k < 13}
+    rows = lambda df: sorted(map(str, df.collect()))
+    for name in ("demands", "freely_reversible", "groups"):
+        assert rows(getattr(full, name)) == rows(getattr(few, name)), name
