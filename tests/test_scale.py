@@ -175,3 +175,15 @@ def test_guards_equal_a_plain_product(spark):
     rows = lambda df: sorted(map(str, df.collect()))
     for name in ("demands", "freely_reversible", "groups"):
         assert rows(getattr(full, name)) == rows(getattr(few, name)), name
+
+
+def test_guards_are_verified_by_their_minimal_alternatives(spark, monkeypatch):
+    """The world with all alternatives of a guard is never made to see what it fixes."""
+    monkeypatch.setattr(World, "guarded", None)
+    asked = []
+    monkeypatch.setattr(World, "strandings", lambda w: asked.append(w.ways.collect()) or spark.createDataFrame([], "src long, dst long, unit string"))
+    monkeypatch.setattr(World, "group_strandings", lambda w: spark.createDataFrame([], "room long, unit string"))
+    pairs = [list(p) for p in itertools.combinations("abcdefgh", 2)]
+    guarded_world(spark, [(1, 2, None)]).verified(spark.createDataFrame([(1, 2, [], pairs)], SPEC))
+    assert [len(rows[0]["alts"] or []) for rows in asked] == [0, 8]
+    assert asked[1][0]["mentions"] == list("abcdefgh")
