@@ -6,6 +6,7 @@ import random
 import pytest
 from karst.operators import detect, gated, graph, idioms, mazes
 from karst.operators.world import World
+from karst.plans import fixpoint
 from karst.plans.fixpoint import many_tasks, walks
 from karst.sources import star
 
@@ -187,3 +188,14 @@ def test_guards_are_verified_by_their_minimal_alternatives(spark, monkeypatch):
     guarded_world(spark, [(1, 2, None)]).verified(spark.createDataFrame([(1, 2, [], pairs)], SPEC))
     assert [len(rows[0]["alts"] or []) for rows in asked] == [0, 8]
     assert asked[1][0]["mentions"] == list("abcdefgh")
+
+
+def test_arcs_with_many_bars_are_not_sent(spark, monkeypatch):
+    """Few arcs may carry many bars: what goes through the driver is bounded by both."""
+    rng = random.Random(7)
+    arcs = [(rng.randrange(12), rng.randrange(12), rng.sample("abcdef", rng.randint(0, 4))) for _ in range(40)]
+    arcs, seeds = spark.createDataFrame(arcs, "src long, dst long, bars array<string>"), spark.createDataFrame([(k, k % 12, "abcdef-"[k % 7]) for k in range(30)], "walk long, node long, ban string")
+    sent = sorted(tuple(r) for r in walks(seeds, arcs).collect())
+    monkeypatch.setattr(fixpoint, "BARS_SENT", 5)
+    monkeypatch.setattr(fixpoint, "_sent", None)
+    assert sorted(tuple(r) for r in walks(seeds, arcs).collect()) == sent
