@@ -116,6 +116,44 @@ def test_components_without_the_closure(spark, monkeypatch):
     assert graph.strong_components(df.limit(0), spark.createDataFrame(list(arcs), "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize(("seed", "arcs", "pairs"), [(1, 90, 0), (3, 40, 0), (4, 60, 1000), (5, 0, 0), (6, 70, 0)])
+def test_the_widest_room_without_the_closure(spark, seed, arcs, pairs):
+    """Also rooms that are no nodes (from 50 on), two parts that do not hang together, and ties."""
+    rng = random.Random(seed)
+    arcs = {(rng.randrange(55), rng.randrange(55)) for _ in range(arcs)}
+    if seed == 6:
+        arcs = {(a // 2 + 25 * (b % 2), b // 2 + 25 * (b % 2)) for a, b in arcs}
+    reach = {a: {a} for a in range(50)}
+    for seen in reach.values():
+        todo = list(seen)
+        while todo:
+            at = todo.pop()
+            new = {d for s, d in arcs if s == at} - seen
+            seen |= new
+            todo += new
+    df = spark.createDataFrame([(k,) for k in [*range(50), 3, None]], "room long")
+    found = graph.widest(df, spark.createDataFrame(list(arcs), "src long, dst long"), pairs)
+    assert [tuple(r) for r in found.collect()] == [max(((k, len(v)) for k, v in reach.items()), key=lambda x: (x[1], -x[0]))]
+    assert graph.widest(df.limit(0), spark.createDataFrame(list(arcs), "src long, dst long"), pairs).count() == 0
+
+
+def test_the_start_is_found_with_few_walks(spark, monkeypatch):
+    """A ring of 600 rooms with rooms before and behind it: all of them reach the ring, and none is walked through it but some chosen ones."""
+    arcs = [(k, (k + 1) % 600) for k in range(600)] + [(1000 + k, k) for k in range(200)] + [(k, 2000 + k) for k in range(200)] + [(1500, 1000)]
+    seen = []
+
+    def counted(seeds, arcs):
+        found = fixpoint.written(walks(seeds, arcs))
+        seen.append(found.count())
+        return found
+
+    monkeypatch.setattr(graph, "walks", counted)
+    rooms = spark.createDataFrame([(k,) for k in {x for a in arcs for x in a}], "room long")
+    found = graph.widest(rooms, spark.createDataFrame(arcs, "src long, dst long"), 0)
+    assert [tuple(r) for r in found.collect()] == [(1500, 802)]
+    assert sum(seen) < 2 * 64 * 1001 + 1000  # of 641,205 pairs and more
+
+
 @pytest.mark.parametrize("most", [1 << 18, 14, 0])
 def test_mazes_are_walked_one_by_one(spark, monkeypatch, most):
     rng = random.Random(11)
