@@ -1,13 +1,16 @@
 """Windows that shut, starts of several rooms, strandings that are no findings, and mazes, on small written worlds."""
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from karst import operators
 from karst.operators import mazes, windows
 from karst.operators.latches import flip_seals
 from karst.operators.world import World
+from karst.plans.fixpoint import walks, written
 
 WAY = "src long, dst long, req_a int, set_a int, alts array<array<string>>"
 FREE = [[]]
@@ -61,6 +64,40 @@ def test_a_crossing_ends_needs_that_it_leaves_no_place_for(spark):
     assert {tuple(r) for r in w.dropped().collect()} == {(3, 4, "rope", "retired"), (3, 4, "coin", "retired")}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_what_comes_after_a_crossing_in_sets(spark, seed):
+    """Two registers walked on their own; a ring, what leads into it and out of it, and rooms that are never reached."""
+    rng = random.Random(seed)
+    pick = lambda: rng.choice([None, None, None, 0, 1])
+    ways = [(k, (k + 1) % 20, None, None, None, None, FREE) for k in range(20)] + [(rng.randrange(45), rng.randrange(45), pick(), pick(), pick(), pick(), FREE) for _ in range(70)]
+    w = world(spark, [], starts=(40, 3) if seed < 3 else (50,))
+    both = spark.createDataFrame(ways, "src long, dst long, req_a int, set_a int, req_b int, set_b int, alts array<array<string>>")
+    w = replace(w, ways=both, projections=(("a",), ("b",)))
+    crossed = spark.createDataFrame([(k,) for k in [*range(48), 5]], "after long")
+    holds, sets = w.rooms_after_sets(crossed)
+    got = holds.join(sets, "set").select("after", "room").distinct().collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, w.rooms_after(crossed).distinct().collect()))
+
+
+def test_strandings_without_all_pairs(spark, monkeypatch):
+    """A ring of 80 rooms that a register goes round with, and from each a way out for good: none is followed round the ring for itself."""
+    found = []
+
+    def counted(seeds, arcs):
+        rows = written(walks(seeds, arcs))
+        found.append(rows.count())
+        return rows
+
+    ways = [(k, (k + 1) % 80, None, k % 2, FREE) for k in range(80)] + [(k, 100 + k, 0, 1, FREE) for k in range(80)]
+    needs = [("lamp", 100 + k) for k in range(0, 80, 2)] + [("rope", 100 + k) for k in range(80)]
+    w = world(spark, ways, [("lamp", 5), ("rope", 5)], needs, starts=(1,))
+    monkeypatch.setattr(operators.world, "walks", counted)
+    monkeypatch.setattr(operators.graph, "walks", counted)
+    lost = {(k, 100 + k, i) for k in range(80) for i in ("lamp", "rope") if k % 2 == 1 and i == "rope"}
+    assert {tuple(r) for r in w.strandings().collect()} == lost
+    assert sum(found) < 2 * 16 * 260 + 10 * 260 < 80 * 160  # two walks of 16 states, and few of all
+
+
 def test_a_window_shuts_when_every_producer_dies(spark):
     ways = [(1, 2, None, None, FREE), (2, 1, None, None, FREE), (2, 3, None, 1, FREE), (3, 1, None, None, FREE), (1, 9, None, None, FREE)]
     w = world(spark, ways, goals=(9,))
