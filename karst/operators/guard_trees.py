@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from karst.plans.fixpoint import written
+from karst.plans.fixpoint import large, written
 
 #: What a comparison asserts when it is negated.
 OPPOSITE = {"==": "!=", "!=": "==", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
@@ -109,7 +109,7 @@ def folded(levelled: DataFrame, leaves: DataFrame) -> DataFrame:
     level are joined to their parents and counted: no array of a node's children is ever built.
     """
     deepest = levelled.agg(F.max("depth")).first()[0]
-    found = leaves.join(levelled.select("guard", "node", "parent", "depth"), ["guard", "node"])
+    found = leaves.join(large(levelled.select("guard", "node", "parent", "depth")), ["guard", "node"])
     out = written(found.select("guard", "node", "parent", "depth", "var", "value"))
     inner = levelled.where("op <> 'ATOM'")
     all_hold = ((F.col("op") == "AND") == F.col("positive")) | (F.col("op") == "NOT")
@@ -118,7 +118,7 @@ def folded(levelled: DataFrame, leaves: DataFrame) -> DataFrame:
         own = up.groupBy("guard", "parent", "var").agg(F.count_distinct("node").alias("constrain"))
         each = up.groupBy("guard", "parent", "var", "value").agg(F.count_distinct("node").alias("allow"))
         top = inner.where(F.col("depth") == depth - 1).select("guard", F.col("node").alias("parent"), F.col("parent").alias("_above"), all_hold.alias("all_hold"), "below")
-        kept = each.join(own, ["guard", "parent", "var"]).join(top, ["guard", "parent"])
+        kept = each.join(own, ["guard", "parent", "var"]).join(large(top), ["guard", "parent"])
         kept = kept.where("if(all_hold, allow = constrain, constrain = below)")
         above = kept.select("guard", F.col("parent").alias("node"), F.col("_above").alias("parent"), F.lit(depth - 1).alias("depth"), "var", "value")
         out = written(out.where(F.col("depth") < depth).unionAll(above))
@@ -149,9 +149,9 @@ def comparisons(levelled: DataFrame) -> DataFrame:
 
 def spine(levelled: DataFrame) -> DataFrame:
     """guard, node, op: the top-level conjuncts, the nodes below ANDs alone that are no AND themselves (the root, if it is none)."""
-    parents = levelled.select("guard", F.col("node").alias("parent"), F.col("op").alias("above"), F.col("spine").alias("straight"))
-    found = levelled.join(parents, ["guard", "parent"], "left")
-    return found.where("op <> 'AND' and (parent is null or (straight and above = 'AND'))").select("guard", "node", "op")
+    parents = large(levelled.where("op = 'AND'").select("guard", F.col("node").alias("parent"), F.col("op").alias("above"), F.col("spine").alias("straight")))
+    found = levelled.where("op <> 'AND'").join(parents, ["guard", "parent"], "left")
+    return found.where("parent is null or (straight and above = 'AND')").select("guard", "node", "op")
 
 
 def _flipped() -> Column:
@@ -332,15 +332,15 @@ def fold_demands(levelled: DataFrame, placed: DataFrame) -> DataFrame:
     A group is a NOT over a place, or over an OR of places alone; each place must be one where its item is ever put (placed: var, value).
     """
     tops = spine(levelled).where("op = 'NOT'").select("guard", "node")
-    kid = levelled.select("guard", F.col("node").alias("kid"), F.col("parent").alias("node"), "op", "kind", "var", "value")
+    kid = large(levelled.where("parent is not null").select("guard", F.col("node").alias("kid"), F.col("parent").alias("node"), "op", "kind", "var", "value"))
     one = tops.join(kid, ["guard", "node"])
     direct = one.where("op = 'ATOM'").select("guard", "node", "kind", "var", "value")
     several = one.where("op = 'OR'").select("guard", F.col("node").alias("top"), F.col("kid").alias("node"))
-    several = several.join(kid.select("guard", "node", F.col("op").alias("_op"), "kind", "var", "value"), ["guard", "node"])
+    several = large(several).join(kid.select("guard", "node", F.col("op").alias("_op"), "kind", "var", "value"), ["guard", "node"])
     several = several.select("guard", F.col("top").alias("node"), F.when(F.col("_op") == "ATOM", F.col("kind")).otherwise("-").alias("kind"), "var", "value")
     each = direct.unionAll(several).join(placed.select("var", "value", F.lit(True).alias("_put")).distinct(), ["var", "value"], "left")
     good = each.groupBy("guard", "node").agg(F.bool_and((F.col("kind") == "LOC") & F.col("_put").isNotNull()).alias("good")).where("good").select("guard", "node")
-    return each.join(good, ["guard", "node"], "left_semi").select("guard", "node", "var", "value").distinct()
+    return each.join(large(good), ["guard", "node"], "left_semi").select("guard", "node", "var", "value").distinct()
 
 
 def satisfiable(levelled: DataFrame, facts: DataFrame) -> DataFrame:
