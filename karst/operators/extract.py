@@ -1,12 +1,13 @@
 """Facts of programs: what every effect of a body does, in which room, and under which tests.
 
-Programs come as flattened trees (sources.ir: a node holds the interval of all its descendants). Everything is a join over them:
+Programs come as flattened trees (sources.ir: a node holds the interval of all its descendants). Bodies are read whole (operators.bodies); joined
+is what crosses them:
 
 contexts: a body runs in the room of its scope, and in every room from which it is called, directly or through other calls; the tests on
 the way to a call belong to what the called body does. Calls are followed round by round over all programs together; a procedure is not
 entered again on a way that has come through it.
-conditions: the tests on the way to an effect (operators.tree.path_conditions), those of its context first.
-guards: the tests as guard trees (operators.guard_trees), one tree for every effect in every context; what cannot be read is an OPAQUE atom.
+conditions: the tests on the way to an effect, and those of its context.
+guards: the tests as guard trees (operators.guard_trees), one tree for all effects with equal tests; what cannot be read is an OPAQUE atom.
 alternatives: the items that each way to satisfy a guard asks for.
 
 Effects whose guard asks for the player to be in another room, or for a register to be two things at once, never come about and are dropped.
@@ -21,17 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karst.functions import guards as G
-from karst.operators import guard_trees, tree
+from karst.operators import guard_trees
+from karst.operators.bodies import Bodies, bodies_of
 from karst.operators.tree import BODY
-from karst.plans.fixpoint import written
-
-CONDITION = "struct<file:string,script:int,owner:string,body:string,test:int,holds:boolean>"
-#: Comparisons by the type of their node, and the same with the sides exchanged.
-COMPARE = {"Eq": "==", "Ne": "!=", "Lt": "<", "Gt": ">", "Le": "<=", "Ge": ">=", "Ult": "<", "Ugt": ">", "Ule": "<=", "Uge": ">="}
-EXCHANGED = {"==": "==", "!=": "!=", "<": ">", ">": "<", "<=": ">=", ">=": "<="}
-#: Numbers that name no room: none, and -1 as 16 bits.
-NO_ROOM = (0, 65535)
+from karst.plans.fixpoint import large, written
 
+CONDITION = "struct<file:string,script:int,owner:string,body:string,test:int,holds:boolean,text:string>"
+#: The guard of all effects without tests.
+FREE = -1
 
 @dataclass(frozen=True)
 class Vocabulary:
@@ -53,137 +51,36 @@ class Vocabulary:
     machine: str = "changeState"
 
 
-def _lookup(names: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), key)
-
-
-def shapes(nodes: DataFrame) -> DataFrame:
-    """The nodes with kids, the array of their children in order (ord, node, t, name, vtype, idx, value)."""
-    kid = F.struct("ord", "node", "t", "name", "vtype", "idx", "value")
-    kids = nodes.where("parent is not null").groupBy(*BODY, F.col("parent").alias("node")).agg(F.sort_array(F.collect_list(kid)).alias("kids"))
-    return nodes.join(kids, [*BODY, "node"], "left")
-
-
-def messages(shaped: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """send, message, selector, receiver, params, item: each message of each send; item: the number of the item that the receiver names, if it does."""
-    send = shaped.where("t = 'Send'").select(*BODY, F.col("node").alias("send"), F.try_element_at("kids", F.lit(1)).alias("receiver"), F.explode("kids").alias("m")).where("m.t = 'SendMessage'")
-    own = shaped.where("t = 'SendMessage'").select(*BODY, F.col("node").alias("message"), F.try_element_at("kids", F.lit(1))["name"].alias("selector"), F.expr("slice(kids, 2, greatest(size(kids) - 1, 0))").alias("params"))
-    found = send.select(*BODY, "send", "receiver", F.col("m.node").alias("message")).join(own, [*BODY, "message"])
-    named = found.where((F.col("receiver.t") == "Object") & (F.col("receiver.name") == vocabulary.inventory) & (F.col("selector") == vocabulary.at))
-    named = named.select(*BODY, F.col("send").alias("_of"), F.try_element_at("params", F.lit(1))["value"].alias("item")).where("item is not null")
-    return found.withColumn("_of", F.col("receiver.node")).join(named, [*BODY, "_of"], "left").drop("_of")
-
-
-@dataclass(frozen=True)
-class Read:
-    """What every step of an extraction reads of its nodes, written once: shapes(), messages() and tree.spans()."""
-
-    shaped: DataFrame
-    sent: DataFrame
-    spanned: DataFrame
-
-
-def read_of(nodes: DataFrame, vocabulary: Vocabulary) -> Read:
-    shaped = written(shapes(nodes))
-    return Read(shaped, written(messages(shaped, vocabulary)), written(tree.spans(nodes)))
-
-
-def _ego(receiver: Column, vocabulary: Vocabulary) -> Column:
-    return F.coalesce((receiver["t"] == "Variable") & (receiver["vtype"] == "Global") & (receiver["idx"] == vocabulary.ego), F.lit(False))
-
-
-def atoms(shaped: DataFrame, sent: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The nodes as nodes of guards: op, kind, var, cmp, value, and inner: whether its children are read too.
+def tests(nodes: DataFrame, roots: DataFrame, vocabulary: Vocabulary, read: Bodies | None = None) -> DataFrame:
+    """The guard nodes of each test: the body columns, test, node, parent (null at the top), op, kind, var, cmp, value. roots: the body columns, test.
 
     An item held is OWN i<n>, a global compared CMP r<n>, a local or temporary one CTR, the place of an item LOC; a variable alone is compared
     with 0; a number alone is a constant (an AND of nothing where it holds); a membership test is the OR of its values; the label of a case
     compares the head of its switch. All else is OPAQUE.
     """
-    k1, k2 = F.try_element_at("kids", F.lit(1)), F.try_element_at("kids", F.lit(2))
-    up = shaped.select(*BODY, F.col("node").alias("parent"), F.col("t").alias("_pt"), F.col("name").alias("_pname"), F.col("parent").alias("_top"), k1.alias("_phead"))
-    head = shaped.where("t = 'Switch'").select(*BODY, F.col("node").alias("_top"), k1.alias("_shead"))
-    asks = sent.where(F.col("selector").isin(*vocabulary.holds, *vocabulary.owned))
-    first = F.try_element_at("params", F.lit(1))
-    has = F.col("selector").isin(*vocabulary.holds) & _ego(F.col("receiver"), vocabulary)
-    asks = asks.groupBy(*BODY, F.col("send").alias("node")).agg(F.first(F.struct("selector", "item", first.alias("p"), has.alias("has"))).alias("_ask"))
-    df = shaped.join(up, [*BODY, "parent"], "left").join(head, [*BODY, "_top"], "left").join(asks, [*BODY, "node"], "left")
-
-    def register(x: Column) -> Column:
-        mark = F.when(x["vtype"] == "Global", "r").otherwise(F.lower(F.substring(x["vtype"], 1, 1)))
-        return F.when((x["t"] == "Variable") & x["vtype"].isin("Global", "Local", "Temp"), F.struct(F.when(x["vtype"] == "Global", "CMP").otherwise("CTR").alias("kind"), F.concat(mark, x["idx"].cast("string")).alias("var")))
-
-    def atom(kind, var, cmp, value) -> Column:
-        return F.struct(F.lit("ATOM").alias("op"), kind.alias("kind"), var.cast("string").alias("var"), cmp.cast("string").alias("cmp"), value.cast("int").alias("value"), F.lit(False).alias("inner"))
-
-    def logic(op: str) -> Column:
-        none = F.lit(None).cast("string")
-        return F.struct(F.lit(op).alias("op"), none.alias("kind"), none.alias("var"), none.alias("cmp"), F.lit(None).cast("int").alias("value"), F.lit(op != "TRUE").alias("inner"))
-
-    cmp, number = _lookup(COMPARE, F.col("t")), lambda x: (x["t"] == "Number") & x["value"].isNotNull()
-    own = register(F.struct("t", "vtype", "idx"))
-    call = F.col("t").isin("PublicCall", "LocalCall") & F.col("name").isin(*vocabulary.members)
-    inside = F.col("_pt").isin("PublicCall", "LocalCall") & F.col("_pname").isin(*vocabulary.members) & (F.col("ord") > 0)
-    label = (F.col("_pt") == "Case") & (F.col("ord") == 0) & F.col("_shead").isNotNull()
-    is_number, i = number(F.struct("t", "value")), F.lit("i")
-    found = (
-        F.when(F.col("t").isin("And", "Or", "Not"), F.when(F.size("kids") > 0, F.when(F.col("t") == "And", logic("AND")).when(F.col("t") == "Or", logic("OR")).otherwise(logic("NOT"))))
-        .when(call & register(k1).isNotNull() & F.forall(F.expr("slice(kids, 2, greatest(size(kids) - 1, 0))"), lambda x: x["t"] == "Number") & (F.size("kids") > 1), logic("OR"))
-        .when(is_number & inside, atom(register(F.col("_phead"))["kind"], register(F.col("_phead"))["var"], F.lit("=="), F.col("value")))
-        .when(is_number & label & register(F.col("_shead")).isNotNull(), atom(register(F.col("_shead"))["kind"], register(F.col("_shead"))["var"], F.lit("=="), F.col("value")))
-        .when(cmp.isNotNull() & register(k1).isNotNull() & number(k2), atom(register(k1)["kind"], register(k1)["var"], cmp, k2["value"]))
-        .when(cmp.isNotNull() & register(k2).isNotNull() & number(k1), atom(register(k2)["kind"], register(k2)["var"], _lookup(EXCHANGED, cmp), k1["value"]))
-        .when(F.col("_ask.has") & F.col("_ask.p.value").isNotNull(), atom(F.lit("OWN"), F.concat(i, F.col("_ask.p.value")), F.lit(None), F.lit(None)))
-        .when(F.col("_ask.selector").isin(*vocabulary.owned) & F.col("_ask.item").isNotNull() & F.col("_ask.p.value").isNotNull(), atom(F.lit("LOC"), F.concat(i, F.col("_ask.item")), F.lit("ownedBy"), F.col("_ask.p.value")))
-        .when(own.isNotNull(), atom(own["kind"], own["var"], F.lit("!="), F.lit(0)))
-        .when(is_number & (F.col("value") != 0), logic("TRUE"))
-        .when(F.col("t") == "Said", atom(F.lit("SAID"), F.lit(None), F.lit(None), F.lit(None)))
-    )
-    other = atom(F.lit("OPAQUE"), F.lit(None), F.lit(None), F.lit(None))
-    return df.withColumn("_atom", F.coalesce(found, other)).select(*BODY, "node", "parent", "ord", F.expr("_pt in ('PublicCall', 'LocalCall') and ord = 0").alias("subject"), "_atom.*")
-
-
-def tests(nodes: DataFrame, roots: DataFrame, vocabulary: Vocabulary, read: Read | None = None) -> DataFrame:
-    """The guard nodes of each test: the body columns, test, node, parent (null at the top), op, kind, var, cmp, value. roots: the body columns, test.
-
-    Goes down from the tests through AND, OR and NOT, one join for each level over all programs together.
-    """
-    given = read or read_of(nodes, vocabulary)
-    read = written(atoms(given.shaped, given.sent, vocabulary))
-    kind = ["op", "kind", "var", "cmp", "value"]
-    top = roots.select(*BODY, "test").distinct().join(read.withColumnRenamed("node", "test").drop("parent"), [*BODY, "test"])
-    front = written(top.select(*BODY, "test", F.col("test").alias("node"), F.lit(None).cast("int").alias("parent"), *kind, "inner"))
-    every = [front]
-    while True:
-        above = front.where("inner").select(*BODY, "test", F.col("node").alias("parent"))
-        front = written(read.where("not coalesce(subject, false)").join(above, [*BODY, "parent"]).select(*BODY, "test", "node", "parent", *kind, "inner"))
-        if front.isEmpty():
-            break
-        every.append(front)
-    found = reduce(DataFrame.unionAll, every)
-    return written(found.select(*BODY, "test", "node", "parent", F.when(F.col("op") == "TRUE", "AND").otherwise(F.col("op")).alias("op"), *kind[1:]))
+    return (read or bodies_of(nodes, vocabulary)).trees.join(roots.select(*BODY, "test").distinct(), [*BODY, "test"], "left_semi")
 
 
-def calls(nodes: DataFrame) -> DataFrame:
-    """leaf, callee script and name: the call nodes whose procedure is in the table."""
-    procedures = nodes.where("owner = '' and parent is null").select("file", F.col("script").alias("to_script"), F.col("body").alias("to_body"))
-    sites = nodes.where("t in ('LocalCall', 'PublicCall')").select(*BODY, F.col("node").alias("leaf"), F.when(F.col("t") == "PublicCall", F.coalesce("idx", "script")).otherwise(F.col("script")).alias("to_script"), F.col("name").alias("to_body"))
-    return sites.join(procedures, ["file", "to_script", "to_body"], "left_semi").select(*BODY, "leaf", "to_script", "to_body")
+def _conditions() -> Column:
+    at = [F.col(c) for c in BODY]
+    return F.transform("tests", lambda x: F.struct(*at, x["test"].alias("test"), x["holds"].alias("holds"), x["text"].alias("text"))).cast(f"array<{CONDITION}>").alias("conditions")
 
 
-def conditions(nodes: DataFrame, leaves: DataFrame, read: Read | None = None) -> DataFrame:
-    """The body columns, leaf and conditions (an array, empty where nothing is tested) of each leaf. leaves: the body columns, leaf."""
-    own = tree.path_conditions(nodes, leaves, read and read.spanned).groupBy(*BODY, "leaf").agg(F.sort_array(F.collect_set(F.struct(*BODY, "test", "holds"))).cast(f"array<{CONDITION}>").alias("conditions"))
-    return leaves.distinct().join(own, [*BODY, "leaf"], "left").withColumn("conditions", F.coalesce("conditions", F.array().cast(f"array<{CONDITION}>")))
+def calls(nodes: DataFrame, read: Bodies) -> DataFrame:
+    """The body columns, conditions, callee script and name: the calls whose procedure is in the table."""
+    procedures = nodes.where("owner = '' and parent is null").select("file", F.col("script").alias("to_script"), F.col("body").alias("to_body"))
+    sites = read.statements.where("kind = 'call'").select(*BODY, _conditions(), F.when(F.col("vtype") == "PublicCall", F.coalesce("idx", "script")).otherwise(F.col("script")).alias("to_script"), F.col("register").alias("to_body"))
+    return sites.join(procedures, ["file", "to_script", "to_body"], "left_semi").select(*BODY, F.col("conditions").alias("_more"), "to_script", "to_body")
 
 
-def contexts(nodes: DataFrame, scopes: DataFrame, read: Read | None = None) -> DataFrame:
+def contexts(nodes: DataFrame, scopes: DataFrame, read: Bodies) -> DataFrame:
     """room, the body columns, movement, conditions: every room in which a body runs, and the tests on the ways of calls to it.
 
     scopes: room, the body columns, movement (false where a machine owns the moves), conditions or none. Two ways with the same tests are one.
     """
-    sites = calls(nodes)
-    sites = written(conditions(nodes, sites.select(*BODY, "leaf"), read).join(sites, [*BODY, "leaf"]).select(*BODY, F.col("conditions").alias("_more"), "to_script", "to_body"))
-    held = F.col("conditions") if "conditions" in scopes.columns else F.array()
+    sites = written(calls(nodes, read))
+    given = lambda c: F.struct(*(c[x].alias(x) for x in [*BODY, "test", "holds"]), F.concat_ws(":", *(c[x].cast("string") for x in [*BODY, "test"])).alias("text"))
+    held = F.transform("conditions", given) if "conditions" in scopes.columns else F.array()
     seen = F.when(F.col("owner") == "", F.array(F.struct("script", "body"))).otherwise(F.array()).cast("array<struct<script:int,body:string>>")
     front = written(scopes.select("room", *BODY, "movement", held.cast(f"array<{CONDITION}>").alias("conditions"), seen.alias("_seen")).distinct())
     every = [front]
@@ -197,58 +94,45 @@ def contexts(nodes: DataFrame, scopes: DataFrame, read: Read | None = None) -> D
         every.append(front)
 
 
-def effects(nodes: DataFrame, vocabulary: Vocabulary, read: Read | None = None) -> DataFrame:
-    """The body columns, leaf, kind, item, register, value, extra: what each statement does, wherever it runs.
+def effects(nodes: DataFrame, vocabulary: Vocabulary, read: Bodies | None = None) -> DataFrame:
+    """The body columns, leaf, kind, item, register, value, conditions: what each statement does, wherever it runs.
 
     move: to room value; exit, pending: a way to room value opened by a property, or by the global of the room to come; take: an item comes to
     the player; put: it comes to room value (null: nowhere); set: a register gets a value; prop: an item's property register gets a value (null:
-    it is counted). A move to a variable goes to every room that some assignment gives it, under the tests of the assignment (extra): a global's
+    it is counted). A move to a variable goes to every room that some assignment gives it, under the tests of the assignment too: a global's
     assignments in its program, a local one's in its script, a temporary one's in its body.
     """
-    read = read or read_of(nodes, vocabulary)
-    shaped, sent = read.shaped, read.sent
-    p1, p2 = F.try_element_at("params", F.lit(1)), F.try_element_at("params", F.lit(2))
-    none, text = F.lit(None).cast("int"), lambda x: F.lit(x) if isinstance(x, str) else x
-    empty = F.array().cast(f"array<{CONDITION}>")
-    row = lambda kind, item=none, register=F.lit(None).cast("string"), value=none, extra=empty: [*BODY, F.col("leaf"), text(kind).alias("kind"), item.cast("int").alias("item"), register.alias("register"), value.cast("int").alias("value"), extra.alias("extra")]
-    room = lambda x: x.isNotNull() & ~x.isin(*NO_ROOM)
-    sent = sent.withColumnRenamed("send", "leaf")
-    ego, moves = _ego(F.col("receiver"), vocabulary), F.col("selector").isin(*vocabulary.moves)
-    out = [
-        sent.where(moves & (p1["t"] == "Number")).select(*row("move", value=p1["value"])).where(room(F.col("value"))),
-        sent.where(F.col("selector").isin(*vocabulary.exits) & (p1["t"] == "Number") & F.col("item").isNull()).select(*row("exit", value=p1["value"])).where(room(F.col("value"))),
-        sent.where(F.col("selector").isin(*vocabulary.takes) & ego & p1["value"].isNotNull()).select(*row("take", item=p1["value"])),
-        sent.where(F.col("selector").isin(*vocabulary.puts) & ego & p1["value"].isNotNull()).select(*row("put", item=p1["value"], value=F.when(room(p2["value"]), p2["value"]))),
-        sent.where(F.col("selector").isin(*vocabulary.properties) & F.col("item").isNotNull() & p1["t"].isin("Number", "Add", "Sub")).select(*row("prop", item=F.col("item"), register=F.col("selector"), value=F.when(p1["t"] == "Number", p1["value"]))),
-    ]
-    to, of = F.try_element_at("kids", F.lit(1)), F.try_element_at("kids", F.lit(2))
-    set_ = written(shaped.where("t = 'Assignment'").select(*BODY, F.col("node").alias("leaf"), to.alias("to"), of.alias("of")).where("of.t = 'Number' and of.value is not null"))
-    pending = F.coalesce((F.col("to.vtype") == "Global") & (F.col("to.idx") == vocabulary.pending), F.lit(False))
-    out += [
-        set_.where((F.col("to.t") == "Property") & F.col("to.name").isin(*vocabulary.exits)).select(*row("exit", value=F.col("of.value"))).where(room(F.col("value"))),
-        set_.where(pending).select(*row("pending", value=F.col("of.value"))).where(room(F.col("value"))),
-        set_.where((F.col("to.vtype") == "Global") & ~pending).select(*row("set", register=F.concat(F.lit("r"), F.col("to.idx")), value=F.col("of.value"))),
-    ]
-    variable = sent.where(moves & (p1["t"] == "Variable")).select(*BODY, "leaf", p1["vtype"].alias("vtype"), p1["idx"].alias("idx"))
-    given = set_.where((F.col("to.t") == "Variable") & room(F.col("of.value"))).join(conditions(nodes, set_.select(*BODY, "leaf"), read), [*BODY, "leaf"])
-    given = given.select(*BODY, F.col("to.vtype").alias("vtype"), F.col("to.idx").alias("idx"), F.col("of.value").alias("_value"), F.col("conditions").alias("_extra"))
+    rows = (read or bodies_of(nodes, vocabulary)).statements
+    out = [rows.where("kind not in ('call', 'given', 'to variable')").select(*BODY, "leaf", "kind", "item", "register", "value", _conditions())]
+    variable = rows.where("kind = 'to variable'").select(*BODY, "leaf", "vtype", "idx", _conditions())
+    given = rows.where("kind = 'given'").select(*BODY, "vtype", "idx", F.col("value"), _conditions().alias("_extra"))
     for mine, scope in (("vtype = 'Global'", ["file"]), ("vtype = 'Local'", ["file", "script"]), ("vtype not in ('Global', 'Local')", BODY)):  # as keys: no send meets an assignment of another scope
-        seen = given.where(mine).select(*scope, "vtype", "idx", "_value", "_extra").distinct()
-        out.append(variable.where(mine).join(seen, [*scope, "vtype", "idx"]).select(*row("move", value=F.col("_value"), extra=F.col("_extra"))).distinct())
+        seen = given.where(mine).select(*scope, "vtype", "idx", "value", "_extra").distinct()
+        met = variable.where(mine).join(seen, [*scope, "vtype", "idx"]).withColumn("conditions", F.array_union("conditions", "_extra"))
+        out.append(met.select(*BODY, "leaf", F.lit("move").alias("kind"), F.lit(None).cast("int").alias("item"), F.lit(None).cast("string").alias("register"), "value", "conditions").distinct())
     return reduce(DataFrame.unionAll, out)
 
 
-def facts(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary, read: Read | None = None) -> DataFrame:
+def facts(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary, read: Bodies | None = None) -> DataFrame:
     """room, the body columns, leaf, movement, kind, item, register, value, conditions: each effect in each context, numbered as guard."""
-    read = read or read_of(nodes, vocabulary)
-    did = written(effects(nodes, vocabulary, read))
-    own = conditions(nodes, did.select(*BODY, "leaf"), read)
+    read = read or bodies_of(nodes, vocabulary)
     where = contexts(nodes, scopes, read).withColumnRenamed("conditions", "_held")
-    found = did.join(own, [*BODY, "leaf"]).join(where, BODY)
-    found = found.withColumn("conditions", F.array_sort(F.array_union(F.array_union("_held", "conditions"), "extra"))).drop("_held", "extra").distinct()
+    found = effects(nodes, vocabulary, read).join(large(where), BODY)
+    found = found.withColumn("conditions", F.array_sort(F.array_union("_held", "conditions"))).drop("_held").distinct()
     return written(found.withColumn("guard", F.monotonically_increasing_id()))
 
 
+def as_one(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The facts numbered anew, those with equal tests by one guard; and guard, conditions: the tests of one of them for each guard."""
+    key = F.array_join(F.array_sort(F.array_distinct(F.transform("conditions", lambda c: F.concat(F.when(c["holds"], "+").otherwise("-"), c["text"])))), "\n")
+    tested = found.where(F.size("conditions") > 0).withColumn("_key", key)
+    one = written(tested.groupBy("_key").agg(F.min("guard").alias("_guard"), F.min_by("conditions", "guard").alias("conditions")))
+    free = found.where(F.size("conditions") == 0).withColumn("guard", F.lit(FREE).cast("long"))
+    tested = tested.join(one.select("_key", "_guard"), "_key").withColumn("guard", F.col("_guard")).select(*found.columns)
+    free_one = one.sparkSession.range(1).select(F.lit(FREE).cast("long").alias("guard"), F.array().cast(f"array<{CONDITION}>").alias("conditions"))
+    return written(tested.unionAll(free.select(*found.columns))), one.select(F.col("_guard").alias("guard"), "conditions").unionAll(free_one)
+
+
 def guard_trees_of(found: DataFrame, read: DataFrame) -> DataFrame:
     """Guard nodes (see operators.guard_trees) of facts: an AND of their conditions, those that must fail under a NOT. read: tests()."""
     wide = lambda k, n: F.shiftleft(k.cast("long") + 1, 32) + n
@@ -313,7 +197,7 @@ class Program:
     def needs(self) -> DataFrame:
         """item, room: what some effect asks for there, however else it can be had."""
         asked = guard_trees.required(self.levelled).withColumnRenamed("var", "item")
-        return self.facts.select("guard", "room").join(asked, "guard").select("item", "room").distinct()
+        return self.facts.select("guard", "room").distinct().join(asked, "guard").select("item", "room").distinct()
 
     def ways(self, registers: list[str]) -> DataFrame:
         """src, dst, alts and for each register req_<r> and set_<r>, as a world reads them: what equality each way asks of a register."""
@@ -331,14 +215,13 @@ class Program:
 def extract(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Program:  # noqa: B008
     """All facts of programs. nodes: see sources.ir; scopes: room, the body columns, movement."""
     nodes = written(nodes)
-    read = read_of(nodes, vocabulary)
-    found = facts(nodes, scopes, vocabulary, read)
-    roots = found.select(F.explode("conditions").alias("c")).select(*(F.col(f"c.{x}").alias(x) for x in [*BODY, "test"])).distinct()
-    levelled = guard_trees.levels(guard_trees_of(found, tests(nodes, roots, vocabulary, read)))
-    away = guard_trees.elsewhere(levelled, f"r{vocabulary.here}", found.select("guard", "room"))
-    never = away.select("guard").unionAll(guard_trees.contradictory(levelled))
-    kept = written(found.join(never, "guard", "left_anti"))
-    levelled = written(levelled.join(kept.select("guard"), "guard", "left_semi"))
+    read = bodies_of(nodes, vocabulary)
+    found, guards = as_one(facts(nodes, scopes, vocabulary, read))
+    roots = guards.select(F.explode("conditions").alias("c")).select(*(F.col(f"c.{x}").alias(x) for x in [*BODY, "test"])).distinct()
+    levelled = guard_trees.levels(guard_trees_of(guards, tests(nodes, roots, vocabulary, read)))
+    away = guard_trees.elsewhere(levelled, f"r{vocabulary.here}", found.select("guard", "room").distinct())
+    kept = written(found.join(away, ["guard", "room"], "left_anti").join(guard_trees.contradictory(levelled), "guard", "left_anti"))
+    levelled = written(levelled.join(kept.select("guard").distinct(), "guard", "left_semi"))
     return Program(kept, levelled, written(alternatives(levelled)))
 
 

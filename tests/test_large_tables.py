@@ -1,6 +1,7 @@
 """What must not go through the driver or be multiplied out, however small its files are."""
 
-from karst.operators import guard_trees
+from karst.operators import extract, guard_trees
+from karst.sources import ir, programs
 
 
 def test_fold_demands_send_no_guards_to_all_tasks(spark):
@@ -12,3 +13,20 @@ def test_fold_demands_send_no_guards_to_all_tasks(spark):
     assert {(r["guard"], r["var"], r["value"]) for r in found.collect()} == {(0, "i1", 4), (2, "i1", 4), (2, "i2", 1)}
     plan = found._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") <= 1  # the places, at most
+
+
+def test_equal_tests_of_many_bodies_are_one_guard(spark, tmp_path):
+    """Thirty bodies take an item, with and without it at hand, and under the same test: two guards, and nodes that moved once."""
+    ego, has = programs.variable(0), programs.send(programs.variable(0), "has", programs.number(3))
+    take = programs.send(ego, "get", programs.number(5))
+    rows = []
+    for k in range(30):
+        for node in ir.flattened(programs.node("List", take, programs.node("If", has, take))):
+            off, up, ord_, depth, last, t, name, vtype, idx, value = node
+            rows.append(("f", 1, f"o{k}", "doit", off, None if off == 0 else up, ord_, depth, last, t, name, vtype, idx, value))
+    nodes = spark.createDataFrame(rows, "file string, script int, owner string, body string, node int, parent int, ord int, depth int, post int, t string, name string, vtype string, idx int, value int")
+    program = extract.extract(nodes, extract.room_scopes(nodes, spark.createDataFrame([(1, 1)], "script int, room int")))
+    assert program.takes.count() == 60
+    assert program.facts.select("guard").distinct().count() == 2
+    assert program.alts.count() == 2
+    assert {tuple(r) for r in program.needs.collect()} == {("i3", 1)}
