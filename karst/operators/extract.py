@@ -66,19 +66,19 @@ def _conditions() -> Column:
     return F.transform("tests", lambda x: F.struct(*at, x["test"].alias("test"), x["holds"].alias("holds"), x["text"].alias("text"))).cast(f"array<{CONDITION}>").alias("conditions")
 
 
-def calls(nodes: DataFrame, read: Bodies) -> DataFrame:
+def calls(read: Bodies) -> DataFrame:
     """The body columns, conditions, callee script and name: the calls whose procedure is in the table."""
-    procedures = nodes.where("owner = '' and parent is null").select("file", F.col("script").alias("to_script"), F.col("body").alias("to_body"))
+    procedures = read.rows.where("kind = 'body' and owner = ''").select("file", F.col("script").alias("to_script"), F.col("body").alias("to_body"))
     sites = read.statements.where("kind = 'call'").select(*BODY, _conditions(), F.when(F.col("vtype") == "PublicCall", F.coalesce("idx", "script")).otherwise(F.col("script")).alias("to_script"), F.col("register").alias("to_body"))
     return sites.join(procedures, ["file", "to_script", "to_body"], "left_semi").select(*BODY, F.col("conditions").alias("_more"), "to_script", "to_body")
 
 
-def contexts(nodes: DataFrame, scopes: DataFrame, read: Bodies) -> DataFrame:
+def contexts(scopes: DataFrame, read: Bodies) -> DataFrame:
     """room, the body columns, movement, conditions: every room in which a body runs, and the tests on the ways of calls to it.
 
     scopes: room, the body columns, movement (false where a machine owns the moves), conditions or none. Two ways with the same tests are one.
     """
-    sites = written(calls(nodes, read))
+    sites = written(calls(read))
     given = lambda c: F.struct(*(c[x].alias(x) for x in [*BODY, "test", "holds"]), F.concat_ws(":", *(c[x].cast("string") for x in [*BODY, "test"])).alias("text"))
     held = F.transform("conditions", given) if "conditions" in scopes.columns else F.array()
     seen = F.when(F.col("owner") == "", F.array(F.struct("script", "body"))).otherwise(F.array()).cast("array<struct<script:int,body:string>>")
@@ -116,7 +116,7 @@ def effects(nodes: DataFrame, vocabulary: Vocabulary, read: Bodies | None = None
 def facts(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary, read: Bodies | None = None) -> DataFrame:
     """room, the body columns, leaf, movement, kind, item, register, value, conditions: each effect in each context, numbered as guard."""
     read = read or bodies_of(nodes, vocabulary)
-    where = contexts(nodes, scopes, read).withColumnRenamed("conditions", "_held")
+    where = contexts(scopes, read).withColumnRenamed("conditions", "_held")
     found = effects(nodes, vocabulary, read).join(large(where), BODY)
     found = found.withColumn("conditions", F.array_sort(F.array_union("_held", "conditions"))).drop("_held").distinct()
     return written(found.withColumn("guard", F.monotonically_increasing_id()))
@@ -212,10 +212,9 @@ class Program:
         return found.select("register", F.col("room").cast("long").alias("room"), "value", "cost").distinct()
 
 
-def extract(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary = Vocabulary()) -> Program:  # noqa: B008
-    """All facts of programs. nodes: see sources.ir; scopes: room, the body columns, movement."""
-    nodes = written(nodes)
-    read = bodies_of(nodes, vocabulary)
+def extract(nodes: DataFrame, scopes: DataFrame, vocabulary: Vocabulary = Vocabulary(), whole: bool = False) -> Program:  # noqa: B008
+    """All facts of programs. nodes: see sources.ir; scopes: room, the body columns, movement; whole: no body lies in two partitions of nodes."""
+    read = bodies_of(nodes, vocabulary, whole)
     found, guards = as_one(facts(nodes, scopes, vocabulary, read))
     roots = guards.select(F.explode("conditions").alias("c")).select(*(F.col(f"c.{x}").alias(x) for x in [*BODY, "test"])).distinct()
     levelled = guard_trees.levels(guard_trees_of(guards, tests(nodes, roots, vocabulary, read)))

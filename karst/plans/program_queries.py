@@ -66,8 +66,8 @@ _CONDS = "array_to_string(conds, ' ')"
 
 def _program(spark, d) -> extract.Program:
     def make() -> extract.Program:
-        nodes = programs.program_nodes(spark, d)
-        return extract.extract(nodes, extract.room_scopes(nodes, programs.program_rooms(spark, d)))
+        scopes = extract.room_scopes(programs.program_heads(spark, d), programs.program_rooms(spark, d))
+        return extract.extract(programs.program_nodes(spark, d), scopes, whole=True)
 
     return shared(spark, d, "program", make)
 

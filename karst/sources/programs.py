@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from karst.plans.fixpoint import large, many_tasks
 from karst.sources.ir import flattened
 from karst.sources.star import table
 
@@ -16,6 +17,8 @@ from karst.sources.star import table
 DST, ITEM, REG, VAL = -1, -2, -3, -4
 #: Nodes from one statement to the next.
 STRIDE = 32
+#: The form of a body's root.
+HEAD = -1
 
 
 def node(t: str, *kids, **more) -> dict:
@@ -77,20 +80,26 @@ def bodies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return found, statements
 
 
+def program_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of each body, as in the node table."""
+    return bodies(spark, sf_dir)[0].select(F.lit("orders").alias("file"), "script", "owner", "body", F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"))
+
+
 def program_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The node table (see sources.ir) of the programs."""
+    """The node table (see sources.ir) of the programs. A partition has whole bodies: statements move, and become nodes where they came to."""
     found, statements = bodies(spark, sf_dir)
-    form = spark.createDataFrame(template_rows(), "form int, off int, up int, ord int, depth int, last int, t string, name string, vtype string, idx int, value int")
-    base = (F.col("ln") - 1) * STRIDE + 1
+    many = many_tasks(spark)
+    none = [F.lit(None).cast(statements.schema[c].dataType).alias(c) for c in ("item", "dst", "reg", "val")]
+    heads = found.select("k", F.lit(None).cast("int").alias("ln"), F.lit(HEAD).cast(statements.schema["form"].dataType).alias("form"), *none)
+    form = spark.createDataFrame([*template_rows(), (HEAD, 0, None, 0, -1, STRIDE * 7, "List", None, None, None, None)], "form int, off int, up int, ord int, depth int, last int, t string, name string, vtype string, idx int, value int")
+    base = F.coalesce((F.col("ln") - 1) * STRIDE + 1, F.lit(0))
     stands = lambda c: F.when(F.col(c) == DST, F.col("dst")).when(F.col(c) == ITEM, F.col("item")).when(F.col(c) == REG, F.col("reg")).when(F.col(c) == VAL, F.col("val")).otherwise(F.col(c)).cast("int").alias(c)
-    top = F.col("off") == 0
-    rows = statements.join(F.broadcast(form), "form").join(found, "k").select(  # a few rows for each form
+    top = (F.col("off") == 0) & (F.col("form") != HEAD)
+    moved = statements.unionAll(heads.select(*statements.columns)).repartition(many, "k").join(large(found.repartition(many, "k")), "k")
+    return moved.join(F.broadcast(form), "form").select(  # a few rows for each form
         F.lit("orders").alias("file"), "script", "owner", "body", (base + F.col("off")).alias("node"), F.when(top, 0).otherwise(base + F.col("up")).alias("parent"), F.when(top, F.col("ln") - 1).otherwise(F.col("ord")).alias("ord"),
         (F.col("depth") + 1).alias("depth"), (base + F.col("last")).alias("post"), "t", F.when(F.col("name") == "$next", F.concat(F.lit("p"), (F.col("k") + 1).cast("string"))).otherwise(F.col("name")).alias("name"), "vtype", stands("idx"), stands("value"),
     )
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("vtype", "string"), ("idx", "int"), ("value", "int"))]
-    root = found.select(F.lit("orders").alias("file"), "script", "owner", "body", F.lit(0).alias("node"), F.lit(None).cast("int").alias("parent"), F.lit(0).alias("ord"), F.lit(0).alias("depth"), F.lit(STRIDE * 7).alias("post"), F.lit("List").alias("t"), *none)
-    return root.unionAll(rows)
 
 
 def program_rooms(spark: SparkSession, sf_dir: str) -> DataFrame:
