@@ -1,6 +1,10 @@
 """What must not go through the driver or be multiplied out, however small its files are."""
 
-from karst.operators import extract, guard_trees
+import random
+
+import pytest
+
+from karst.operators import extract, graph, guard_trees
 from karst.sources import ir, programs
 
 
@@ -30,3 +34,21 @@ def test_equal_tests_of_many_bodies_are_one_guard(spark, tmp_path):
     assert program.facts.select("guard").distinct().count() == 2
     assert program.alts.count() == 2
     assert {tuple(r) for r in program.needs.collect()} == {("i3", 1)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_pockets_are_what_each_cut_leaves_out(spark, seed):
+    rng = random.Random(seed)
+    arcs = {(rng.randrange(30) * 7 + 3, rng.randrange(30) * 7 + 3) for _ in range(45)}
+    starts = [3, 10][: 1 + seed % 2]
+
+    def reached(over):
+        seen = list(starts)
+        for x in seen:
+            seen.extend(b for a, b in sorted(over) if a == x and b not in seen)
+        return set(seen)
+
+    found = graph.pockets(spark.createDataFrame([(s,) for s in starts], "room long"), spark.createDataFrame(sorted(arcs), "src long, dst long"))
+    full = reached(arcs)
+    assert {tuple(r) for r in found.collect()} == {(a, b, r) for a, b in arcs if a in full for r in full - reached(arcs - {(a, b)})}
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
