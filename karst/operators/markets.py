@@ -13,6 +13,10 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from karst.plans.fixpoint import ROWS_OUT, dealt, whole_groups
 
 
 def matching(wants: dict) -> dict:
@@ -74,20 +78,32 @@ def squeezes(consumers: DataFrame, spends: DataFrame) -> DataFrame:
     """
     wanted = consumers.where("market is not null and consumer is not null").groupBy("market", "consumer").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.filter(F.coalesce("tokens", F.array().cast(dict(consumers.dtypes)["tokens"])), lambda t: t.isNotNull()))))).alias("tokens"))
     paid = spends.where("market is not null and token is not null").select("market", "spend", "token", F.sort_array("satisfies").alias("satisfies")).distinct()
-    kinds = dict(consumers.dtypes)
-    own, token, spend = kinds["consumer"], kinds["tokens"][6:-1], dict(spends.dtypes)["spend"]
-
-    def solve(left: pa.Table, right: pa.Table) -> pa.Table:
-        wants = dict(zip(left["consumer"].to_pylist(), left["tokens"].to_pylist(), strict=True))
-        rows = sorted(zip(right["spend"].to_pylist(), right["token"].to_pylist(), right["satisfies"].to_pylist(), strict=True), key=str)
-        found = _solved(wants, [(s, t, x or []) for s, t, x in rows]) or []
-        columns = list(zip(*found, strict=True)) if found else [(), (), ()]
-        return pa.table({
-            "market": pa.array([left["market"][0].as_py()] * len(found), left["market"].type), "spend": pa.array(columns[0], right["spend"].type),
-            "token": pa.array(columns[1], right["token"].type), "starves": pa.array(columns[2], pa.list_(left["consumer"].type)),
-        }) if left.num_rows else pa.table({"market": pa.array([], right["market"].type), "spend": pa.array([], right["spend"].type), "token": pa.array([], right["token"].type), "starves": pa.array([], pa.list_(left["consumer"].type))})
-
-    return wanted.groupBy("market").cogroup(paid.groupBy("market")).applyInArrow(solve, f"market {kinds['market']}, spend {spend}, token {token}, starves array<{own}>")
+    null = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    both = wanted.select("market", F.lit(False).alias("pays"), "consumer", "tokens", *(null(paid, c) for c in ("spend", "token", "satisfies")))
+    both = both.unionAll(paid.select("market", F.lit(True).alias("pays"), *(null(wanted, c) for c in ("consumer", "tokens")), "spend", "token", "satisfies"))
+
+    def each(batches):
+        found: list = []
+        for market, rows in whole_groups(batches, "market"):
+            many = rows["pays"].index(True) if True in rows["pays"] else len(rows["pays"])
+            if not 0 < many < len(rows["pays"]):
+                continue
+            wants = dict(zip(rows["consumer"][:many], rows["tokens"][:many], strict=True))
+            payments = sorted(zip(rows["spend"][many:], rows["token"][many:], rows["satisfies"][many:], strict=True), key=str)
+            found.extend((market, *row) for row in _solved(wants, [(s, t, x or []) for s, t, x in payments]) or ())
+            if len(found) >= ROWS_OUT:
+                yield out(found)
+                found = []
+        if found:
+            yield out(found)
+
+    def out(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), shape, strict=True)], schema=shape)
+
+    schema = T.StructType([both.schema["market"], both.schema["spend"], both.schema["token"], T.StructField("starves", T.ArrayType(both.schema["consumer"].dataType))])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    shape = to_arrow_schema(schema)
+    return dealt(both, "market", "pays").mapInArrow(each, schema)
 
 
 def unmet(consumers: DataFrame) -> DataFrame:

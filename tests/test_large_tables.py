@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from karst.operators import extract, graph, guard_trees
@@ -52,3 +53,19 @@ def test_pockets_are_what_each_cut_leaves_out(spark, seed):
     full = reached(arcs)
     assert {tuple(r) for r in found.collect()} == {(a, b, r) for a, b in arcs if a in full for r in full - reached(arcs - {(a, b)})}
     assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
+def test_markets_of_a_task_are_gone_through_in_one_stream(spark):
+    from karst.operators import markets
+    from karst.plans.fixpoint import whole_groups
+
+    rows = [(m, c, [c, c + 1]) for m in range(40) for c in range(1 + m % 3)]
+    consumers = spark.createDataFrame(rows, "market long, consumer int, tokens array<int>")
+    spends = spark.createDataFrame([(m, 9, 0, []) for m in range(45)], "market long, spend int, token int, satisfies array<int>")
+    assert {(r["market"], r["consumers"], r["tokens"], r["saturated"]) for r in graph.saturating(consumers).collect()} == {(m, 1 + m % 3, 2 + m % 3, True) for m in range(40)}
+    assert markets.squeezes(consumers, spends).count() == 0
+    for found in (graph.saturating(consumers), markets.squeezes(consumers, spends)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
+    batches = [pa.RecordBatch.from_pydict({"k": k, "v": v}) for k, v in (([1, 1], [0, 1]), ([], []), ([1, 2], [2, 3]), ([2], [4]))]
+    assert [(k, g["v"]) for k, g in whole_groups(batches, "k")] == [(1, [0, 1, 2]), (2, [3, 4])]
