@@ -61,12 +61,20 @@ def register_strandings(start: DataFrame, ways: DataFrame, sources: DataFrame, n
     return gone.join(seeds, "walk").select("value", F.floor(F.col("node") / n).alias("room"), "item").distinct()
 
 
-def dangerous_sinks(drops: DataFrame, needs: DataFrame, reobtainable: DataFrame, pairs: DataFrame) -> DataFrame:
-    """item, room, ahead: an item can be lost in room, is asked for in other rooms ahead, and is not to be had from there again."""
-    lost = drops.join(reobtainable, ["item", "room"], "left_anti")
-    ahead = needs.select("item", F.col("room").alias("b"))
-    found = lost.join(pairs.withColumnRenamed("a", "room"), "room").where("b <> room").join(ahead, ["item", "b"])
-    return found.groupBy("item", "room").agg(F.count_distinct("b").alias("ahead"))
+def dangerous_sinks(drops: DataFrame, needs: DataFrame, reobtainable: DataFrame, pairs) -> DataFrame:
+    """item, room, ahead: an item can be lost in room, is asked for in other rooms ahead, and is not to be had from there again.
+
+    pairs: a, b, each once; or what gives them of the rooms (room) that are asked for. A pair of rooms carries the items of its ends as arrays, so that
+    it is not multiplied by what is lost in one of them or asked for in the other.
+    """
+    lost = written(drops.select("item", "room").join(reobtainable, ["item", "room"], "left_anti"))
+    at = lost.groupBy("room").agg(F.collect_set("item").alias("_lost"))
+    ahead = needs.groupBy(F.col("room").alias("b")).agg(F.collect_set("item").alias("_asked"))
+    if callable(pairs):
+        pairs = pairs(lost.select("room").distinct())
+    met = pairs.withColumnRenamed("a", "room").where("b <> room").join(ahead, "b").join(at, "room")
+    found = met.select("room", F.explode(F.array_intersect("_lost", "_asked")).alias("item"))
+    return found.groupBy("item", "room").agg(F.count(F.lit(1)).alias("ahead"))
 
 
 def permanent_drops(moves: DataFrame, drops: DataFrame) -> DataFrame:

@@ -69,3 +69,29 @@ def test_markets_of_a_task_are_gone_through_in_one_stream(spark):
         assert "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
     batches = [pa.RecordBatch.from_pydict({"k": k, "v": v}) for k, v in (([1, 1], [0, 1]), ([], []), ([1, 2], [2, 3]), ([2], [4]))]
     assert [(k, g["v"]) for k, g in whole_groups(batches, "k")] == [(1, [0, 1, 2]), (2, [3, 4])]
+
+
+def test_rounds_of_costs_leave_one_table(spark):
+    """What a round wrote goes when the next has been written."""
+    from karst.operators import costs
+    from karst.plans import fixpoint
+
+    before = len(fixpoint._WRITTEN)
+    writes = spark.createDataFrame([(k, f"o{k}", 1, ["a"] if k == 9 else []) for k in range(10)], "write int, register string, value int, items array<string>")
+    deps = spark.createDataFrame([(k, f"o{k + 1}", [1]) for k in range(9)], "write int, register string, values array<int>")
+    assert {tuple(r) for r in costs.chained(writes, deps).collect()} == {(k, "a") for k in range(10)}
+    assert len(fixpoint._WRITTEN) - before <= 4
+
+
+def test_sinks_walk_from_rooms_where_something_is_lost(spark):
+    from karst.operators import gated
+
+    asked = []
+
+    def pairs(rooms):
+        asked.extend(r["room"] for r in rooms.collect())
+        return spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "a long, b long")
+
+    frame = lambda data: spark.createDataFrame(data, "item string, room long")
+    found = gated.dangerous_sinks(frame([("x", 1), ("y", 1), ("x", 2)]), frame([("x", 1), ("x", 2), ("x", 3), ("z", 3)]), frame([("x", 2)]), pairs)
+    assert {tuple(r) for r in found.collect()} == {("x", 1, 2)} and set(asked) == {1}
